@@ -1,0 +1,88 @@
+"""Queries p3, p4 and p6: rejects, orphan references and results per hot key."""
+
+from __future__ import annotations
+
+from waymark.catalog import query
+from waymark.operators import orphans, rejects, treeagg
+from waymark.tables import table
+
+
+@query("p3_found")
+def p3_found(spark, sf_dir):
+    return rejects.failing(table(spark, sf_dir, "raw_records"))
+
+
+@query("p3_cameras")
+def p3_cameras(spark, sf_dir):
+    return rejects.loaded_cameras(table(spark, sf_dir, "raw_records"))
+
+
+@query("p3_points")
+def p3_points(spark, sf_dir):
+    return rejects.loaded_points(table(spark, sf_dir, "raw_records"))
+
+
+def _state(spark, sf_dir):
+    return orphans.model_state(*(table(spark, sf_dir, n) for n in ("points3d", "images", "cameras")))
+
+
+_REFS = """
+WITH pt AS (SELECT point3d_id AS id, min(loaded_at) AS a, min(deleted_at) AS g, any_value(image_ids) AS l FROM points3d WHERE point3d_id IS NOT NULL GROUP BY 1),
+im AS (SELECT image_id AS id, min(loaded_at) AS a, min(deleted_at) AS g, any_value(point3d_ids) AS l, any_value(camera_id) AS cam FROM images WHERE image_id IS NOT NULL GROUP BY 1),
+ca AS (SELECT camera_id AS id, min(loaded_at) AS a, min(deleted_at) AS g FROM cameras GROUP BY 1),
+r AS (SELECT DISTINCT 'points3d.image_ids' AS ref_field, id AS row_id, unnest(l) AS target_id, a FROM pt
+  UNION SELECT DISTINCT 'images.point3d_ids', id, unnest(l), a FROM im
+  UNION SELECT 'images.camera_id', id, cam, a FROM im),
+p AS (SELECT 'points3d.image_ids' AS ref_field, id, a AS pa, g FROM im
+  UNION ALL SELECT 'images.point3d_ids', id, a, g FROM pt
+  UNION ALL SELECT 'images.camera_id', id, a, g FROM ca),
+s AS (SELECT r.ref_field, row_id, target_id,
+    CASE WHEN p.id IS NULL THEN 'missing' WHEN g <= a THEN 'deleted' WHEN pa > a THEN 'late' ELSE 'sound' END AS status,
+    strftime(a, '%Y-%m') AS load_month
+  FROM r LEFT JOIN p ON r.ref_field = p.ref_field AND r.target_id = p.id
+  WHERE target_id IS NOT NULL AND NOT (r.ref_field = 'images.point3d_ids' AND target_id = -1))
+"""
+
+
+@query("p4_found", _REFS + "SELECT ref_field, row_id, target_id, status, load_month FROM s WHERE status <> 'sound'")
+def p4_found(spark, sf_dir):
+    return orphans.unsound(_state(spark, sf_dir))
+
+
+@query("p4_per_month", _REFS + "SELECT ref_field, load_month, status, count(*) AS n_refs FROM s GROUP BY 1, 2, 3")
+def p4_per_month(spark, sf_dir):
+    return orphans.per_month(_state(spark, sf_dir))
+
+
+@query("p4_snapshots")
+def p4_snapshots(spark, sf_dir):
+    return orphans.snapshots(_state(spark, sf_dir))
+
+
+@query(
+    "p6_found",
+    """
+WITH o AS (SELECT DISTINCT obs_id, frame_id, landmark_id FROM observations WHERE obs_id IS NOT NULL AND frame_id IS NOT NULL AND landmark_id IS NOT NULL),
+n AS (SELECT frame_id, landmark_id, count(*) AS n FROM o GROUP BY 1, 2),
+e AS (SELECT DISTINCT point3d_id, point_error, unnest(image_ids) AS i FROM points3d WHERE point_error IS NOT NULL AND NOT isnan(point_error)),
+a AS (SELECT frame_id, landmark_id, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, landmark_id) AS k FROM n),
+b AS (SELECT i, point3d_id, row_number() OVER (PARTITION BY i ORDER BY point_error, point3d_id) AS k FROM e WHERE i IS NOT NULL)
+SELECT 'observations.frame_id' AS key_field, frame_id AS key_id, landmark_id AS top_id FROM a WHERE k = 1
+UNION ALL SELECT 'points3d.image_ids', i, point3d_id FROM b WHERE k = 1
+""",
+)
+def p6_found(spark, sf_dir):
+    return treeagg.top_per_key(table(spark, sf_dir, "observations"), table(spark, sf_dir, "points3d"))
+
+
+@query(
+    "p6_loads",
+    """
+WITH o AS (SELECT obs_id, frame_id, max(reproj_error::DOUBLE) AS e FROM observations WHERE obs_id IS NOT NULL AND frame_id IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT point3d_id, i, max(e) AS e FROM (SELECT point3d_id, CASE WHEN NOT isnan(point_error) THEN point_error END AS e, unnest(image_ids) AS i FROM points3d) x WHERE i IS NOT NULL GROUP BY 1, 2)
+SELECT 'observations.frame_id' AS key_field, frame_id AS key_id, count(*) AS n_rows, round(avg(e), 6) AS mean_error FROM o GROUP BY 2
+UNION ALL SELECT 'points3d.image_ids', i, count(*), round(avg(e), 6) FROM t GROUP BY 2
+""",
+)
+def p6_loads(spark, sf_dir):
+    return treeagg.key_loads(table(spark, sf_dir, "observations"), table(spark, sf_dir, "points3d"))
