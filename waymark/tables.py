@@ -4,13 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path has it already."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="waymark-"), "waymark.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted((_ROOT / "waymark").rglob("*.py")):
+            z.write(p, p.relative_to(_ROOT))
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir` (one file or one folder)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
