@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import astime, bpe, topn
+from waymark.llm import astime, bpe, topn, vectors
 from waymark.tables import table
 
 QUERIES: dict = {}
@@ -21,6 +21,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_SIMILAR = """
+WITH a AS (SELECT DISTINCT anchor_id, descriptor::DOUBLE[] AS x FROM anchors
+  WHERE len(descriptor) = 64 AND len(list_filter(descriptor, lambda v: v IS NOT NULL AND isfinite(v))) = 64 AND len(list_filter(descriptor, lambda v: v <> 0)) > 0),
+b AS (SELECT DISTINCT landmark_id, mu::DOUBLE[] AS y FROM landmarks
+  WHERE len(mu) = 64 AND len(list_filter(mu, lambda v: v IS NOT NULL AND isfinite(v))) = 64 AND len(list_filter(mu, lambda v: v <> 0)) > 0),
+c AS (SELECT anchor_id, landmark_id, list_cosine_similarity(x, y) AS cosine FROM a, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY cosine DESC, landmark_id) AS k FROM c WHERE cosine >= 0.85)
+"""
+
+
+@query("p1_found", _SIMILAR + "SELECT anchor_id, landmark_id FROM r WHERE k <= 10")
+def p1_found(spark, sf_dir):
+    return vectors.similar_landmarks(table(spark, sf_dir, "anchors"), table(spark, sf_dir, "landmarks")).drop("cosine")
+
+
 @query(
     "p2_found",
     """
