@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import astime, bpe, topn, vectors
+from waymark.llm import astime, bpe, mixing, reading, topn, vectors
 from waymark.tables import table
 
 QUERIES: dict = {}
@@ -67,3 +67,41 @@ def p5_found(spark, sf_dir):
 @query("p7_ids")
 def p7_ids(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def _mix(spark, sf_dir, total=None):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"), total)
+
+
+@query("p8_mix")
+def p8_mix(spark, sf_dir):
+    return _mix(spark, sf_dir)[0]
+
+
+@query("p8_shares")
+def p8_shares(spark, sf_dir):
+    return _mix(spark, sf_dir)[1]
+
+
+@query("p8_shares_corpus")
+def p8_shares_corpus(spark, sf_dir):
+    return _mix(spark, sf_dir, "corpus")[1]
+
+
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")
+
+
+@query("p9_found")
+def p9_found(spark, sf_dir):
+    return reading.reading_levels(*_texts(spark, sf_dir))
+
+
+@query("p9_validation")
+def p9_validation(spark, sf_dir):
+    return reading.validation(*_texts(spark, sf_dir))
+
+
+@query("p9_profile")
+def p9_profile(spark, sf_dir):
+    return reading.profile(*_texts(spark, sf_dir))
