@@ -35,12 +35,14 @@ from waymark.llm import boosting
 
 MAX_LABELLED = 20_000  # bound of the labelled sample
 FOLDS, LEAST_DOCS, SMOOTH = 5, 4, 2.0
-KEPT_WORDS = 300_000  # words kept for reuse by a worker
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-STOP = re.compile(r"[.!?;:]+(?=\s|$)|\n+")
-TAG = re.compile(r"<[^<>]{1,80}>|[­​-‏﻿]")
+KEPT_WORDS = 300_000  # tokens kept for reuse by a worker
+CHUNK_CHARS = 2_000_000  # texts are measured together up to this size
+TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?;:]+(?=\s|$)|\n+")
+TAG = re.compile(r"<[^<>]{1,80}>|[\u00ad\u200b-\u200f\ufeff]")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+SPREAD = 2 + len(QUANTILES)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+LENGTH = np.uint64(63)
 
 
 def clean(text: str) -> str:
@@ -57,85 +59,113 @@ def clean(text: str) -> str:
     return TAG.sub("", text).lower().replace("\r\n", "\n").replace("\r", "\n")
 
 
-class Words:
-    """Hashes of words, kept for reuse in a table of bounded size."""
+class Tokens:
+    """Numbers of tokens, kept for reuse in a table of bounded size: a hash whose last six bits are the length; 0 for an end of sentence."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, tokens: list[str]) -> np.ndarray:
         known = self.known
         try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         except KeyError:
             if len(known) > KEPT_WORDS:
                 known.clear()
-            for w in words:
+            for w in tokens:
                 if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def pairs(h: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words."""
-    return (h[:-1] * MIX) ^ h[1:]
-
-
-def triples(h: np.ndarray) -> np.ndarray:
-    """Hashes of a word and the second word after it."""
-    return (h[:-2] * MIX * MIX) ^ h[2:]
-
-
-def kinds(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    return h, pairs(h), triples(h)
-
-
-def _spread(values: np.ndarray) -> list[float]:
-    if not len(values):
-        return [0.0] * (2 + len(QUANTILES))
-    s = np.sort(values)
-    n = len(s)
-    return [float(s.mean()), float(s.std()), *(float(s[min(n - 1, int(q * n))]) for q in QUANTILES)]
-
-
-def style(text: str, words: list[str], h: np.ndarray) -> list[float]:
-    """What doesn't depend on the labels: lengths, clauses, cohesion."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    n = max(1, len(words))
-    parts = [WORD.findall(s) for s in STOP.split(text)]
-    lengths = np.array([len(p) for p in parts if p], dtype=np.float64)
-    shared, before = [], None
-    for p in itertools.islice((p for p in parts if p), None):
-        now = {w for w in p if len(w) > 3}
-        if before is not None and now:
-            shared.append(len(now & before) / len(now))
-        before = now
-    return [
-        *_spread(sizes),
-        float((sizes >= 7).mean()) if len(sizes) else 0.0,
-        float((sizes >= 11).mean()) if len(sizes) else 0.0,
-        float((sizes >= 15).mean()) if len(sizes) else 0.0,
-        *_spread(lengths),
-        text.count(",") / n,
-        text.count("-") / n,
-        sum(map(text.count, "?!")) / n,
-        text.count("\n") / n,
-        float(np.mean(shared)) if shared else 0.0,
-        len(np.unique(h)) / np.sqrt(n),
-    ]
-
-
-def measured(h: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """Distributions of the difficulty of words, pairs and triples."""
-    out: list[float] = []
-    for keys, (known, grade) in zip(kinds(h), tables):
+                    known[w] = (xxhash.xxh64_intdigest(w) & ~63) | min(len(w), 63) if w[0].isalpha() else 0
+            return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def kinds(h: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, documents) of words, of neighbouring words, and of words with the second one after."""
+    two, three = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
+    return [(h, doc), (((h[:-1] * MIX) ^ h[1:])[two], doc[:-1][two]), (((h[:-2] * MIX * MIX) ^ h[2:])[three], doc[:-2][three])]
+
+
+def spread(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Mean, deviation and quantiles of each document's values (all in [0, 4096)); zeros without values. doc is sorted."""
+    count = np.bincount(doc, minlength=n)
+    some = np.maximum(count, 1)
+    mean = np.bincount(doc, values, minlength=n) / some
+    var = np.bincount(doc, values * values, minlength=n) / some - mean * mean
+    out = np.zeros((n, SPREAD))
+    out[:, 0], out[:, 1] = mean, np.sqrt(np.maximum(var, 0))
+    if len(values):
+        ordered = np.sort(doc * 4096.0 + values) - doc * 4096.0  # the order inside each document
+        start = np.cumsum(count) - count
+        for i, q in enumerate(QUANTILES):
+            at = np.minimum(start + np.minimum(some - 1, (q * count).astype(np.int64)), len(ordered) - 1)
+            out[:, 2 + i] = np.where(count > 0, ordered[at], 0.0)
+    return out
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
+def read(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words, their documents, fixed features): what doesn't depend on the labels - lengths, clauses, cohesion."""
+    n = len(texts)
+    cleaned = [clean(t) for t in texts]
+    found = list(map(TOKEN.findall, cleaned))
+    flat = tokens(list(itertools.chain.from_iterable(found)))
+    doc = np.repeat(np.arange(n), [len(f) for f in found])
+    word = flat != 0
+    h, at = flat[word], doc[word]
+    size = (h & LENGTH).astype(np.float64)
+    count = np.maximum(np.bincount(at, minlength=n), 1)
+    share = lambda x: np.bincount(at, x, minlength=n) / count
+
+    sentence = (np.cumsum(~word | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]))[word]  # numbers of sentences, those without words skipped below
+    firsts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.zeros(0, np.int64)
+    number = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(sentence))))
+    lengths = np.minimum(np.diff(np.append(firsts, len(sentence))), 4095).astype(np.float64)
+    of = at[firsts]
+
+    shift, ones = np.uint64(36), np.uint64(1 << 36)
+    long_ = size > 3
+    seen = _distinct((number[long_].astype(np.uint64) << shift) | (h[long_] >> np.uint64(28)))  # (sentence, word)
+    where = (seen >> shift).astype(np.int64)
+    place = np.minimum(np.searchsorted(seen, seen - ones), max(0, len(seen) - 1))
+    again = (where > 0) & (seen[place] == seen - ones) if len(seen) else np.zeros(0, bool)
+    per = np.bincount(where, again, minlength=len(of)) / np.maximum(np.bincount(where, minlength=len(of)), 1)
+    later = np.concatenate([[False], of[1:] == of[:-1]])[: len(of)]
+    cohesion = np.bincount(of[later], per[later], minlength=n) / np.maximum(np.bincount(of[later], minlength=n), 1)
+
+    different = _distinct((at.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))  # (document, word)
+    variety = np.bincount((different >> np.uint64(40)).astype(np.int64), minlength=n) / np.sqrt(count)
+    marks = np.array([[t.count(","), t.count("-"), t.count("?") + t.count("!"), t.count("\n")] for t in cleaned], dtype=np.float64).reshape(n, 4) / count[:, None]
+    fixed = np.hstack([spread(size, at, n), np.stack([share(size >= 7), share(size >= 11), share(size >= 15)], axis=1), spread(lengths, of, n), marks, cohesion[:, None], variety[:, None]])
+    return h, at, fixed
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of groups of whole texts of at most CHUNK_CHARS together, or of one longer text."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > CHUNK_CHARS:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def measured(h: np.ndarray, doc: np.ndarray, n: int, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Distributions of the difficulty of words, pairs and triples in each document."""
+    out = []
+    for (keys, of), (known, grade) in zip(kinds(h, doc), tables):
         if not len(known) or not len(keys):
-            out += [0.0] * (3 + len(QUANTILES))
+            out.append(np.zeros((n, SPREAD + 1)))
             continue
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         there = known[at] == keys
-        out += [*_spread(grade[at[there]]), float(there.mean())]
-    return out
+        total = np.maximum(np.bincount(of, minlength=n), 1)
+        out.append(np.hstack([spread(grade[at[there]], of[there], n), (np.bincount(of[there], minlength=n) / total)[:, None]]))
+    return np.hstack(out)
 
 
 def tables_of(docs: np.ndarray, keys: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,34 +181,38 @@ def tables_of(docs: np.ndarray, keys: np.ndarray, grades: np.ndarray) -> tuple[n
 class Model:
     """Difficulty tables, trees and thresholds."""
 
-    def __init__(self, hashes: list[np.ndarray], fixed: np.ndarray, grades: np.ndarray, sources: list[str]):
+    def __init__(self, h: np.ndarray, doc: np.ndarray, fixed: np.ndarray, grades: np.ndarray, sources: list[str]):
+        """h, doc: word hashes and the numbers of their documents, in order of the documents."""
+        n = len(grades)
         self.folds = self._folds(sources)
         self.sources, self.grades = sources, grades
-        unique = [[np.unique(k) for k in kinds(h)] for h in hashes]
-        docs = [np.repeat(np.arange(len(hashes)), [len(u[i]) for u in unique]) for i in range(3)]
-        keys = [np.concatenate([u[i] for u in unique]) for i in range(3)]
+        once = []  # each key of a document once
+        for keys, of in kinds(h, doc):
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])[: len(keys)]
+            once.append((keys[new], of[new]))
 
         def tables(use: np.ndarray):
-            made = []
-            for d, k in zip(docs, keys):
-                sel = use[d]
-                renumber = np.cumsum(use) - 1
-                made.append(tables_of(renumber[d[sel]], k[sel], grades[use]))
-            return made
-
-        learned = np.zeros((len(hashes), 3 * (3 + len(QUANTILES))))
+            renumber = np.cumsum(use) - 1
+            return [tables_of(renumber[of[use[of]]], keys[use[of]], grades[use]) for keys, of in once]
+
+        learned = np.zeros((n, 3 * (SPREAD + 1)))
         for f in np.unique(self.folds):
-            t = tables(self.folds != f)
-            for i in np.flatnonzero(self.folds == f):
-                learned[i] = measured(hashes[i], t)
+            mine = self.folds == f
+            part = mine[doc]
+            learned[mine] = measured(h[part], doc[part], n, tables(~mine))[mine]
         x = np.hstack([fixed, learned])
-        self.out_of_fold = np.zeros(len(grades))
+        self.out_of_fold = np.zeros(n)
         for f in np.unique(self.folds):
             rest = self.folds != f
-            self.out_of_fold[~rest] = boosting.fit(x[rest], grades[rest]).predict(x[~rest])
+            if rest.any():
+                self.out_of_fold[~rest] = boosting.fit(x[rest], grades[rest]).predict(x[~rest])
+            else:
+                self.out_of_fold[:] = grades.mean()
         self.cuts = boosting.cut_points(self.out_of_fold, grades)
         self.trees = boosting.fit(x, grades)
-        self.tables = tables(np.ones(len(grades), bool))
+        self.tables = tables(np.ones(n, bool))
 
     @staticmethod
     def _folds(sources: list[str]) -> np.ndarray:
@@ -208,13 +242,6 @@ class Model:
         return out
 
 
-def read(text: str, words: Words) -> tuple[np.ndarray, list[float]]:
-    text = clean(text)
-    found = WORD.findall(text)
-    h = words(found)
-    return h, style(text, found, h)
-
-
 MAX_CHARS = 2_000_000  # labelled documents longer than this are not fitted on
 
 
@@ -230,25 +257,21 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     texts = documents.filter(F.col("text").isNotNull() & (F.col("n_chars") <= MAX_CHARS)).select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        tokens = Tokens()
         for b in batches:
-            got = [read(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "source": b.column("source"),
-                    "grade": b.column("grade"),
-                    "hashes": pa.array([h.tobytes() for h, _ in got], pa.binary()),
-                    "fixed": pa.array([f for _, f in got], pa.list_(pa.float64())),
-                }
-            )
+            for start, part in chunks(b.column("text").to_pylist()):
+                h, doc, fixed = read(part, tokens)
+                ends = np.cumsum(np.bincount(doc, minlength=len(part)))
+                cols = {c: b.column(c).slice(start, len(part)) for c in ("doc_id", "source", "grade")}
+                yield pa.RecordBatch.from_pydict(cols | {"hashes": pa.array([h[a:z].tobytes() for a, z in zip(np.append(0, ends[:-1]), ends)], pa.binary()), "fixed": pa.array(list(fixed), pa.list_(pa.float64()))})
 
     ddl = "doc_id bigint, source string, grade double, hashes binary, fixed array<double>"
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "source", "grade").mapInArrow(run, ddl).toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
-    hashes = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
-    return Model(hashes, np.array(rows.column("fixed").to_pylist()), rows.column("grade").to_numpy(), rows.column("source").to_pylist())
+    words = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return Model(np.concatenate(words), doc, np.array(rows.column("fixed").to_pylist()), rows.column("grade").to_numpy(), rows.column("source").to_pylist())
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -260,16 +283,13 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, trees, cuts = shared.value
-        words = Words()
+        tokens = Tokens()
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.empty((b.num_rows, len(trees.edges)))
-            for i, t in enumerate(b.column("text").to_pylist()):
-                h, fixed = read(t, words)
-                x[i] = fixed + measured(h, tables)
-            grade = np.searchsorted(cuts, trees.predict(x), "right") + 1
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "reading_level": pa.array(grade.astype(np.int32))})
+            for start, part in chunks(b.column("text").to_pylist()):
+                h, doc, fixed = read(part, tokens)
+                x = np.hstack([fixed, measured(h, doc, len(part), tables)])
+                grade = np.searchsorted(cuts, trees.predict(x), "right") + 1
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(start, len(part)), "reading_level": pa.array(grade.astype(np.int32))})
 
     return prose.mapInArrow(run, "doc_id bigint, reading_level int")
 
