@@ -29,28 +29,50 @@ def camera_matrix(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
     return _arr(fx, 0, cx, 0, fy, cy, 0, 0, 1)
 
 
-def invert(t: Column) -> Column:
-    """Inverse of a rigid transform: [R', -R't]."""
-    rows = []
+def _rows(t: Column) -> list[list[Column]]:
+    return [[t[4 * i + j] for j in range(4)] for i in range(3)]
+
+
+def _inverse(m: list[list[Column]]) -> list[list[Column]]:
+    """[R', -R't], element by element, so that no array is built in between."""
+    out = []
     for i in range(3):
-        r = [t[4 * k + i] for k in range(3)]
-        rows += [*r, -(r[0] * t[3] + r[1] * t[7] + r[2] * t[11])]
-    return F.when(t.isNotNull(), _arr(*rows, 0, 0, 0, 1))
+        r = [m[k][i] for k in range(3)]
+        out.append([*r, -(r[0] * m[0][3] + r[1] * m[1][3] + r[2] * m[2][3])])
+    return out
+
+
+def _product(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    cell = lambda i, j: a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j]
+    return [[cell(i, j) + a[i][3] if j == 3 else cell(i, j) for j in range(4)] for i in range(3)]
+
+
+def _moved(m: list[list[Column]], p: Column) -> list[Column]:
+    return [m[i][0] * p[0] + m[i][1] * p[1] + m[i][2] * p[2] + m[i][3] for i in range(3)]
+
+
+def _packed(m: list[list[Column]]) -> Column:
+    return _arr(*[x for row in m for x in row], 0, 0, 0, 1)
+
+
+def invert(t: Column) -> Column:
+    """Inverse of a rigid transform."""
+    return F.when(t.isNotNull(), _packed(_inverse(_rows(t))))
 
 
 def compose(a: Column, b: Column) -> Column:
     """a @ b for rigid transforms."""
-    rows = []
-    for i in range(3):
-        for j in range(4):
-            x = a[4 * i] * b[j] + a[4 * i + 1] * b[4 + j] + a[4 * i + 2] * b[8 + j]
-            rows.append(x + a[4 * i + 3] if j == 3 else x)
-    return F.when(a.isNotNull() & b.isNotNull(), _arr(*rows, 0, 0, 0, 1))
+    return F.when(a.isNotNull() & b.isNotNull(), _packed(_product(_rows(a), _rows(b))))
+
+
+def relative(a: Column, b: Column) -> Column:
+    """Motion from pose a to pose b: inverse of a, times b."""
+    return F.when(a.isNotNull() & b.isNotNull(), _packed(_product(_inverse(_rows(a)), _rows(b))))
 
 
 def apply(t: Column, p: Column) -> Column:
     """Transformed point."""
-    return F.when(t.isNotNull() & p.isNotNull(), _arr(*[t[4 * i] * p[0] + t[4 * i + 1] * p[1] + t[4 * i + 2] * p[2] + t[4 * i + 3] for i in range(3)]))
+    return F.when(t.isNotNull() & p.isNotNull(), F.array(*_moved(_rows(t), p)))
 
 
 def centre(t: Column) -> Column:
@@ -63,9 +85,9 @@ def backproject(u: Column, v: Column, z: Column, fx: Column, fy: Column, cx: Col
 
 def project(t: Column, p: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
     """Pixel and depth (u, v, z) of a world point; u and v are NaN unless z > 1e-6. t: camera to world."""
-    c = apply(invert(t), p)
-    seen, nan = c[2] > 1e-6, F.lit(float("nan"))
-    return F.when(c.isNotNull(), F.struct(F.when(seen, fx * c[0] / c[2] + cx).otherwise(nan).alias("u"), F.when(seen, fy * c[1] / c[2] + cy).otherwise(nan).alias("v"), c[2].alias("z")))
+    x, y, z = _moved(_inverse(_rows(t)), p)
+    seen, nan = z > 1e-6, F.lit(float("nan"))
+    return F.when(t.isNotNull() & p.isNotNull(), F.struct(F.when(seen, fx * x / z + cx).otherwise(nan).alias("u"), F.when(seen, fy * y / z + cy).otherwise(nan).alias("v"), z.alias("z")))
 
 
 def reprojection_error(pixel: Column, u: Column, v: Column) -> Column:
@@ -97,19 +119,24 @@ def to_quaternion(t: Column) -> Column:
     )
 
 
+def _turned(w: Column, x: Column, y: Column, z: Column) -> list[list[Column]]:
+    return [
+        [1 - 2 * y * y - 2 * z * z, 2 * x * y - 2 * w * z, 2 * z * x + 2 * w * y],
+        [2 * x * y + 2 * w * z, 1 - 2 * x * x - 2 * z * z, 2 * y * z - 2 * w * x],
+        [2 * z * x - 2 * w * y, 2 * y * z + 2 * w * x, 1 - 2 * x * x - 2 * y * y],
+    ]
+
+
 def from_quaternion(w: Column, x: Column, y: Column, z: Column, tx, ty, tz) -> Column:
     """Rigid transform of a quaternion, taken as it is (not normalised), and a translation."""
-    return _arr(
-        1 - 2 * y * y - 2 * z * z, 2 * x * y - 2 * w * z, 2 * z * x + 2 * w * y, tx,
-        2 * x * y + 2 * w * z, 1 - 2 * x * x - 2 * z * z, 2 * y * z - 2 * w * x, ty,
-        2 * z * x - 2 * w * y, 2 * y * z + 2 * w * x, 1 - 2 * x * x - 2 * y * y, tz,
-        0, 0, 0, 1,
-    )
+    return _packed([[*r, t] for r, t in zip(_turned(w, x, y, z), (tx, ty, tz))])
 
 
 def image_pose(qvec: Column, tvec: Column) -> Column:
     """Camera-to-world pose of a registered image (world to camera: qvec w x y z, tvec)."""
-    return F.when(qvec.isNotNull() & tvec.isNotNull(), invert(from_quaternion(qvec[0], qvec[1], qvec[2], qvec[3], tvec[0], tvec[1], tvec[2])))
+    w, x, y, z = (qvec[i] for i in range(4))
+    turn = _turned(w, x, y, z)
+    return F.when(qvec.isNotNull() & tvec.isNotNull(), _packed(_inverse([[*turn[i], tvec[i]] for i in range(3)])))
 
 
 # Which models have one focal length and which have two.

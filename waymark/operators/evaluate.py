@@ -47,8 +47,7 @@ def rpe(rows: DataFrame, by: list[str], order: list[str], got: str, want: str) -
     w = Window.partitionBy(*by).orderBy(*order)
     both = rows.filter(F.col(got).isNotNull() & F.col(want).isNotNull())
     steps = both.withColumns({"g0": F.lag(got).over(w), "w0": F.lag(want).over(w)}).filter("g0 is not null")
-    a = pose.compose(pose.invert(F.col("g0")), F.col(got))
-    b = pose.compose(pose.invert(F.col("w0")), F.col(want))
+    a, b = pose.relative(F.col("g0"), F.col(got)), pose.relative(F.col("w0"), F.col(want))
     errors = steps.select(*by, a.alias("a"), b.alias("b")).select(*by, pose.translation_error(F.col("a"), F.col("b")).alias("t"), pose.rotation_error(F.col("a"), F.col("b")).alias("r"))
     rms = lambda c: F.round(F.sqrt(F.avg(F.col(c) * F.col(c))), 5)
     return errors.groupBy(*by).agg(F.count("*").alias("n"), rms("t").alias("trans_rmse"), F.round(F.median("t"), 5).alias("trans_median"), rms("r").alias("rot_rmse"), F.round(F.median("r"), 5).alias("rot_median"))

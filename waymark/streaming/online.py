@@ -157,7 +157,7 @@ COLUMNS = ["sequence_id", "seq", "uv", "z", "desc", "camera", "gt"]
 def run_batch(frames: DataFrame, how: Online = Online(), dim: int = 64) -> DataFrame:
     """Result rows of every sequence. frames: COLUMNS, one row a frame (uv array<array>, desc array<array>)."""
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         memory = Memory(dim)
         return _rows(int(key[0]), [memory.step(f, how) for f in _frames(pdf)])
 
@@ -167,7 +167,7 @@ def run_batch(frames: DataFrame, how: Online = Online(), dim: int = 64) -> DataF
 def run_stream(frames: DataFrame, how: Online = Online(), dim: int = 64) -> DataFrame:
     """The same rows from a streaming DataFrame; the memory is the state of its sequence."""
 
-    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = pickle.loads(state.get[0]) if state.exists else Memory(dim)
         pdf = pd.concat(list(parts))
         rows = [memory.step(f, how) for f in _frames(pdf)]
