@@ -39,22 +39,29 @@ KEPT_WORDS = 300_000  # tokens kept for reuse by a worker
 CHUNK_CHARS = 2_000_000  # texts are measured together up to this size
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?;:]+(?=\s|$)|\n+")
 TAG = re.compile(r"<[^<>]{1,80}>|[\u00ad\u200b-\u200f\ufeff]")
+TWICE = re.compile("[\u00c2\u00c3][^\x00-\x7f]|\u00e2[^\x00-\x7f]{2}")  # letters encoded twice
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 SPREAD = 2 + len(QUANTILES)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LENGTH = np.uint64(63)
 
 
+def _once(m: re.Match) -> str:
+    try:
+        return m[0].encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        try:
+            return m[0].encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return m[0]
+
+
 def clean(text: str) -> str:
     """Lower-case text without markup, entities and twice-encoded letters."""
     if "&" in text:
         text = html.unescape(text)
-    if "Ã" in text or "â€" in text or "Â" in text:
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            text = re.sub("[ÂÃ][\u0080-ÿ]", lambda m: m[0].encode("latin-1").decode("utf-8", "replace"), text)
     if not text.isascii():
+        text = TWICE.sub(_once, text)
         text = unicodedata.normalize("NFKC", text)
     return TAG.sub("", text).lower().replace("\r\n", "\n").replace("\r", "\n")
 
