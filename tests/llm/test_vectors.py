@@ -41,26 +41,34 @@ def test_small_set_is_exact(spark):
 
 
 @pytest.mark.parametrize("least", [0.9, None])
-def test_recall_of_a_deep_forest(spark, monkeypatch, least):
-    monkeypatch.setattr(vectors, "LEAF", 200)
+def test_recall_of_a_deep_forest(spark, least):
     a, b = cloud(150, 60, 0.15, 3), cloud(3000, 60, 0.15, 4)
-    got, want = run(spark, a, b, 5, least, Forest(trees=8, candidates=1600, dim=16)), brute(a, b, 5, -2 if least is None else least)
+    got, want = run(spark, a, b, 5, least, Forest(trees=8, candidates=1600, dim=16, leaf=200)), brute(a, b, 5, -2 if least is None else least)
     assert len(got & want) >= 0.9 * len(want)
 
 
 def test_one_dense_cluster_is_cut_into_subtrees(spark, monkeypatch):
     """A third of all vectors within a tiny angle: more than a subtree holds, even at the depth of the counts."""
-    monkeypatch.setattr(vectors, "LEAF", 60)
-    monkeypatch.setattr(vectors, "HIST_BITS", 4)
-    monkeypatch.setattr(vectors, "STEP_BITS", 4)
+    monkeypatch.setattr(vectors, "MOST_PREFIXES", 16)
     a, b = cloud(40, 30, 0.3, 5), cloud(600, 30, 0.3, 6)
     rng = np.random.default_rng(7)
     b += [(1000 + i, (b[0][1] + rng.normal(size=16) * 1e-3).astype(np.float32)) for i in range(300)]
     a += [(1000 + i, (b[0][1] + rng.normal(size=16) * 1e-3).astype(np.float32)) for i in range(20)]
-    got, want = run(spark, a, b, 5, 0.8, Forest(trees=6, candidates=400, dim=16)), brute(a, b, 5, 0.8)
+    got, want = run(spark, a, b, 5, 0.8, Forest(trees=6, candidates=400, dim=16, leaf=60, counted=4)), brute(a, b, 5, 0.8)
     assert len(got & want) >= 0.85 * len(want)
 
 
+def test_plan_is_bounded_and_covers_everything():
+    rng = np.random.default_rng(1)
+    codes = np.sort(rng.integers(0, 2**56, 5000) >> rng.integers(0, 40, 5000))
+    p, c = np.unique(codes >> 44, return_counts=True)
+    leaves = vectors._cut_tree((p, c), (p, c), 12, 0, 0, 100)
+    leaves.sort(key=lambda x: x.start)
+    assert sum(x.size for x in leaves) == 5000 == sum(x.asked for x in leaves)
+    assert leaves[0].start == 0 and all(a.start + (1 << (56 - a.depth)) == b.start for a, b in zip(leaves, leaves[1:]))
+    assert all(x.size <= 100 or x.depth == 12 for x in leaves)
+
+
 def test_equal_vectors_and_copies(spark):
     v = [1.0] + [0.0] * 15
     a = [(i, v) for i in range(50)] + [(7, v)]

@@ -38,7 +38,7 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def _prune(names: list[str], groups: int):
+def _prune(names: list[str], groups: int, size: int):
     """Keeps, of every chunk, the rows that are among the first N of their group there."""
 
     def chunk(got: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -58,7 +58,7 @@ def _prune(names: list[str], groups: int):
         for b in batches:
             got.append(b)
             n += b.num_rows
-            if n >= CHUNK:
+            if n >= size:
                 yield from chunk(got)
                 got, n = [], 0
         if n:
@@ -107,7 +107,7 @@ def top_n(rows: DataFrame, groups: list[str], item: str, score: str, n: str) ->
     names = [f"g{i}" for i in range(len(groups))] + ["item", "score", "most"]
     renamed = rows.filter(usable).select(*[F.col(g).cast("bigint").alias(f"g{i}") for i, g in enumerate(groups)], F.col(item).cast("bigint").alias("item"), (number + 0.0).alias("score"), F.col(n).cast("int").alias("most"))
     keys = names[: len(groups)]
-    pruned = renamed.mapInArrow(_prune(names, len(groups)), renamed.schema)
+    pruned = renamed.mapInArrow(_prune(names, len(groups), CHUNK), renamed.schema)
     ordered = pruned.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, F.desc("score"), "item")
     top = ordered.mapInArrow(_stream(names, len(groups)), renamed.schema)
     kinds = dict(rows.dtypes)

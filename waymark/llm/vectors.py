@@ -6,14 +6,16 @@ of these strings. A query descends to the longest prefix that still has enough
 vectors and ascends, in all trees at the same depth, until the trees together
 hold `candidates` of them; those are compared by cosine.
 
-On a cluster the sorted arrays are cut into subtrees of at most LEAF vectors.
-How many vectors share each of the first HIST_BITS bits is counted beforehand
-(at most 2^HIST_BITS numbers a tree, whatever the size of the data); from the
+On a cluster the sorted arrays are cut into subtrees of at most `leaf` vectors.
+How many vectors share each of the first `counted` bits is counted beforehand
+(at most 2^counted numbers a tree, whatever the size of the data); from the
 counts each query knows, without asking anybody, the depth at which the trees
 together have enough candidates, and so the subtrees to visit. Prefixes with
-more vectors than a subtree may hold are counted further, bit by bit deeper,
-and where vectors can't be told apart by any bit they are split into blocks
-that all get the query. In a subtree the queries with the same range of the
+more vectors than a subtree may hold are counted further, some bits deeper each
+time, and where vectors can't be told apart by any bit they are split into
+blocks that all get the query. A tree has at most about 2 x MOST_LEAVES
+subtrees: on larger collections a subtree may hold more, so the plan that goes
+to all tasks stays bounded. In a subtree the queries with the same range of the
 sorted array are compared with that range by one matrix product.
 
 Equal vectors are one vector with several ids. Vectors travel as 16-bit
@@ -41,8 +43,10 @@ from pyspark.sql import functions as F
 
 from waymark.tables import cut, partitions
 
-BITS, HIST_BITS, STEP_BITS = 56, 12, 12
-LEAF, QUERIES = 8192, 32_768  # vectors of a subtree; queries sent to one copy of it
+BITS = 56
+QUERIES = 32_768  # queries sent to one copy of a subtree
+MOST_LEAVES = 1 << 15  # of a tree: on larger collections subtrees grow instead of the plan
+MOST_PREFIXES = 1 << 16  # of a tree, counted at once below the first level
 CHUNK = 60_000
 FEW_PAIRS = 50_000  # pairs to compute again that may be broadcast
 
@@ -53,6 +57,8 @@ class Forest:
     candidates: int = 24_576  # of all trees together
     dim: int = 64
     seed: int = 17
+    leaf: int = 8192  # vectors of a subtree
+    counted: int = 12  # bits of the prefixes counted at first
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.dim, self.trees * BITS)).astype(np.float32)
@@ -129,8 +135,11 @@ def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
     return centre
 
 
-def _counts(vectors: DataFrame, forest: Forest, centre: np.ndarray, depth: int, within: list[np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per tree the prefixes of `depth` bits that occur and their numbers of vectors; only below the prefixes `within`."""
+Level = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _counts(vectors: DataFrame, forest: Forest, centre: np.ndarray, depth: int, step: int = 0, within: list[np.ndarray] | None = None) -> Level:
+    """Per tree the prefixes of `depth` bits that occur and their numbers of vectors; only below the prefixes `within`, which are `step` bits shorter."""
     trees, dim, planes = forest.trees, forest.dim, forest.planes()
 
     def run(batches):
@@ -140,7 +149,7 @@ def _counts(vectors: DataFrame, forest: Forest, centre: np.ndarray, depth: int,
             for t in range(trees):
                 p = codes[:, t] >> (BITS - depth)
                 if within is not None:
-                    p = p[np.isin(p >> STEP_BITS, within[t])]
+                    p = p[np.isin(p >> step, within[t])]
                 for v, c in zip(*(a.tolist() for a in np.unique(p, return_counts=True))):
                     found[t][v] = found[t].get(v, 0) + c
         rows = [(t, v, c) for t in range(trees) for v, c in found[t].items()]
@@ -157,83 +166,108 @@ def _counts(vectors: DataFrame, forest: Forest, centre: np.ndarray, depth: int,
 
 @dataclass
 class Plan:
-    """Where vectors and queries go. starts, blocks, copies: per tree, of each subtree."""
+    """Where vectors and queries go. starts, nearby, blocks, copies: per tree, of each subtree."""
 
     centre: np.ndarray
-    sums: list[np.ndarray]  # per tree, running numbers of vectors by prefix of HIST_BITS bits
+    sums: list[np.ndarray]  # per tree, running numbers of vectors by prefix of `counted` bits
     starts: list[np.ndarray]
+    nearby: list[np.ndarray]  # first and last subtree below the deepest prefix with enough candidates
     blocks: list[np.ndarray]
     copies: list[np.ndarray]
 
 
-def _cut_tree(prefixes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[int], list[int], list[int]]:
-    """Subtrees of one level of counts: (start, count, depth) so that none but single prefixes has more than LEAF."""
-    starts, sizes, depths = [], [], []
-    run = np.concatenate([[0], np.cumsum(counts)])
-
-    def split(lo: int, hi: int, prefix: int, d: int) -> None:
+@dataclass
+class Leaf:
+    """A subtree: its first code, depth, vectors and queries."""
+
+    start: int
+    depth: int
+    size: int
+    asked: int
+
+
+def _cut_tree(counts: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray], depth: int, root: int, root_depth: int, most: int) -> list[Leaf]:
+    """Subtrees below the prefix `root`, from counts of prefixes of `depth` bits: halved while they have more than `most` vectors."""
+    (p, c), (q, a) = counts, asked
+    run, ask = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(a)])
+    out: list[Leaf] = []
+    todo = [(root, root_depth)]
+    while todo:
+        prefix, d = todo.pop()
+        ends = np.array([prefix, prefix + 1], np.int64) << (depth - d)
+        lo, hi = np.searchsorted(p, ends)
         n = int(run[hi] - run[lo])
-        if n <= LEAF or d == depth:
-            starts.append(prefix << (BITS - d))
-            sizes.append(n)
-            depths.append(d)
-            return
-        mid = lo + int(np.searchsorted(prefixes[lo:hi], ((prefix << 1) | 1) << (depth - d - 1)))
-        split(lo, mid, prefix << 1, d + 1)
-        split(mid, hi, (prefix << 1) | 1, d + 1)
-
-    split(0, len(prefixes), 0, 0)
-    return starts, sizes, depths
+        if n <= most or d == depth:
+            lo, hi = np.searchsorted(q, ends)
+            out.append(Leaf(prefix << (BITS - d), d, n, int(ask[hi] - ask[lo])))
+        else:
+            todo += [((prefix << 1) | 1, d + 1), (prefix << 1, d + 1)]
+    return out
 
 
 def _plan(vectors: DataFrame, queries: DataFrame, forest: Forest) -> Plan:
     centre = _centre(vectors, forest.dim)
-    level = _counts(vectors, forest, centre, HIST_BITS, None)
-    asked = _counts(queries, forest, centre, HIST_BITS, None)
+    level = _counts(vectors, forest, centre, forest.counted)
+    asked = _counts(queries, forest, centre, forest.counted)
+    most = max(forest.leaf, max(int(c.sum()) for _, c in level) // MOST_LEAVES)
     sums, trees = [], []
-    for p, c in level:
-        dense = np.zeros((1 << HIST_BITS) + 1, np.int64)
-        dense[p + 1] = c
+    for n, m in zip(level, asked):
+        dense = np.zeros((1 << forest.counted) + 1, np.int64)
+        dense[n[0] + 1] = n[1]
         sums.append(np.cumsum(dense))
-        trees.append(list(zip(*_cut_tree(p, c, HIST_BITS))))
-    depth = HIST_BITS
-    while depth + STEP_BITS <= BITS:  # prefixes that hold more than a subtree may: count them deeper
-        large = [[s >> (BITS - depth) for s, n, d in tree if n > LEAF and d == depth] for tree in trees]
-        if not any(large):
+        trees.append(_cut_tree(n, m, forest.counted, 0, 0, most))
+    depth = forest.counted
+    while depth < BITS:  # prefixes that hold more than a subtree may: count deeper below them
+        large = [[x for x in tree if x.size > most and x.depth == depth] for tree in trees]
+        widest = max(map(len, large))
+        if not widest:
             break
-        deeper = _counts(vectors, forest, centre, depth + STEP_BITS, [np.array(x, np.int64) for x in large])
-        depth += STEP_BITS
+        step = min(BITS - depth, max(1, MOST_PREFIXES.bit_length() - 1 - (widest - 1).bit_length()))
+        within = [np.array([x.start >> (BITS - depth) for x in tree], np.int64) for tree in large]
+        depth += step
+        level, asked = (_counts(x, forest, centre, depth, step, within) for x in (vectors, queries))
         for t, tree in enumerate(trees):
-            p, c = deeper[t]
-            kept = [x for x in tree if (x[0] >> (BITS - depth + STEP_BITS)) not in set(large[t]) or x[2] != depth - STEP_BITS]
-            for top in large[t]:
-                lo, hi = np.searchsorted(p, [top << STEP_BITS, (top + 1) << STEP_BITS])
-                s, n, d = _cut_tree(p[lo:hi] - (top << STEP_BITS), c[lo:hi], STEP_BITS)
-                shift = BITS - depth
-                kept += [((top << STEP_BITS << shift) + ((x >> (BITS - STEP_BITS)) << shift), m, e + depth - STEP_BITS) for x, m, e in zip(s, n, d)]
-            trees[t] = sorted(kept)
-    starts, blocks, copies = [], [], []
-    for t, tree in enumerate(trees):
-        s = np.array([x[0] for x in tree], np.int64)
-        p, c = asked[t]
-        loads = np.zeros(len(s), np.int64)
-        np.add.at(loads, np.searchsorted(s, p << (BITS - HIST_BITS), "right") - 1, c)
-        starts.append(s)
-        blocks.append(np.maximum(1, -(-np.array([x[1] for x in tree]) // LEAF)))
-        copies.append(np.maximum(1, -(-loads // QUERIES)))
-    return Plan(centre, sums, starts, blocks, copies)
-
-
-def _depths(codes: np.ndarray, plan: Plan, wanted: int) -> np.ndarray:
+            split = {x.start for x in large[t]}
+            trees[t] = [x for x in tree if x.start not in split]
+            for x in large[t]:
+                trees[t] += _cut_tree(level[t], asked[t], depth, x.start >> (BITS - x.depth), x.depth, most)
+    starts, nearby, blocks, copies = [], [], [], []
+    for tree in trees:
+        tree.sort(key=lambda x: x.start)
+        starts.append(np.array([x.start for x in tree], np.int64))
+        nearby.append(_nearby(tree, starts[-1], forest))
+        blocks.append(np.maximum(1, -(-np.array([x.size for x in tree]) // most)))
+        copies.append(np.maximum(1, -(-np.array([x.asked for x in tree]) // QUERIES)))
+    return Plan(centre, sums, starts, nearby, blocks, copies)
+
+
+def _nearby(tree: list[Leaf], starts: np.ndarray, forest: Forest) -> np.ndarray:
+    """For each subtree, the first and last one below its deepest prefix (of at least `counted` bits) with enough vectors."""
+    enough = forest.candidates // forest.trees
+    run = np.concatenate([[0], np.cumsum([x.size for x in tree])])
+    out = np.zeros((len(tree), 2), np.int64)
+    for i, x in enumerate(tree):
+        d = max(x.depth, forest.counted)
+        while True:
+            low = (x.start >> (BITS - d)) << (BITS - d)
+            a, b = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, low + (1 << (BITS - d)) - 1, "right") - 1
+            if d <= forest.counted or run[b + 1] - run[a] >= enough:
+                break
+            d -= 1
+        out[i] = a, b
+    return out
+
+
+def _depths(codes: np.ndarray, plan: Plan, forest: Forest) -> np.ndarray:
     """The deepest level, the same in all trees, at which they together have enough candidates."""
     depth = np.zeros(len(codes), np.int64)
-    for d in range(1, HIST_BITS + 1):
+    for d in range(1, forest.counted + 1):
         total = np.zeros(len(codes), np.int64)
         for t, run in enumerate(plan.sums):
             p = codes[:, t] >> (BITS - d)
-            width = 1 << (HIST_BITS - d)
+            width = 1 << (forest.counted - d)
             total += run[(p + 1) * width] - run[p * width]
-        depth[total >= wanted] = d
+        depth[total >= forest.candidates] = d
     return depth
 
 
@@ -256,7 +290,7 @@ def _send(plan: Plan, forest: Forest, asking: bool):
             rec["scale"] = np.abs(x).max(axis=1) / 32767
             rec["x"] = np.rint(x / rec["scale"][:, None])
             if asking:
-                rec["depth"] = _depths(codes, plan, forest.candidates)
+                rec["depth"] = _depths(codes, plan, forest)
             for t in range(trees):
                 rec["code"] = codes[:, t]
                 if asking:
@@ -264,6 +298,9 @@ def _send(plan: Plan, forest: Forest, asking: bool):
                     low = (codes[:, t] >> shift) << shift
                     first = np.searchsorted(plan.starts[t], low, "right") - 1
                     last = np.searchsorted(plan.starts[t], low + (np.int64(1) << shift) - 1, "right") - 1
+                    deep = rec["depth"] == forest.counted  # enough even there: only the subtrees around the query's own
+                    own = plan.nearby[t][np.searchsorted(plan.starts[t], codes[deep, t], "right") - 1]
+                    first[deep], last[deep] = own[:, 0], own[:, 1]
                     row, leaf = _spread(last - first + 1, first)
                     each, block = _spread(plan.blocks[t][leaf], 0)
                     row, leaf = row[each], leaf[each]
@@ -328,7 +365,7 @@ def _compare(forest: Forest, k: int, min_cosine: float | None):
                 return np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << shift))
 
             lo, hi = span(depth)
-            open_ = depth == HIST_BITS  # below the counted depth: descend in the array itself
+            open_ = depth == forest.counted  # below the counted depth: descend in the array itself
             while open_.any():
                 deeper = depth + open_
                 a, b = span(np.minimum(deeper, BITS))
