@@ -58,6 +58,20 @@ def test_increments_give_the_same_state(spark, monkeypatch):
     assert result(by_increments(parts)) == brute(refs, parents)
 
 
+def test_periods_give_the_same_state(spark):
+    refs, parents = cases(1500, 3)
+    r, p = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS)
+    first = {}
+    for f, t, a, g in parents:
+        b = first.setdefault((f, t), [a, g])
+        b[0], b[1] = min(b[0], a), g if b[1] is None else b[1] if g is None else min(b[1], g)
+    one = spark.createDataFrame([(f, t, a, g) for (f, t), (a, g) in first.items()], PARENTS)
+    state = by_increments(orphans.in_periods(r, one, [15, 30]))
+    assert result(state) == brute(refs, parents)
+    count = lambda s: sorted(map(tuple, snapshots(s).collect()))
+    assert count(state) == count(advance(None, r, p))
+
+
 def test_arrivals_resolve_and_deletions_reopen(spark):
     one = advance(None, spark.createDataFrame([(0, 5, 1, 10)], REFS), spark.createDataFrame([], PARENTS))
     assert {r[3] for r in result(one)} == {"missing"}

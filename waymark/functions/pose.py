@@ -175,3 +175,12 @@ def angle_between(a: Column, b: Column) -> Column:
 def least_angle(d: Column, others: Column) -> Column:
     """Smallest angle to a set of directions; 180 for an empty set."""
     return F.coalesce(F.array_min(F.transform(others, lambda o: angle_between(d, o))), F.lit(180.0))
+
+
+def triangulate(p1, p2, x1, x2):
+    """World point of two pixels seen by two 3x4 projection matrices (numpy): the direct linear solution."""
+    import numpy as np
+
+    rows = [x[k] * p[2] - p[k] for p, x in ((np.asarray(p1), x1), (np.asarray(p2), x2)) for k in (0, 1)]
+    h = np.linalg.svd(np.stack(rows))[2][-1]
+    return h[:3] / h[3]

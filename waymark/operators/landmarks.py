@@ -251,3 +251,39 @@ def build_store(entries: DataFrame, views: DataFrame, min_obs: int = 1, min_stat
     static = scores.staticness(F.col("n_obs"), F.lit(0.0), F.coalesce("mean_error", F.lit(0.0)), diversity)
     filled = joined.withColumns({"view_diversity": diversity, "staticness": static, "min_cos": F.coalesce("min_cos", F.lit(-1.0)), "max_cos": F.coalesce("max_cos", F.lit(1.0))})
     return filled.filter(F.col("staticness") >= min_static)
+
+
+def observation_in(obs: DataFrame, frames: DataFrame, key: str = "landmark_id") -> DataFrame:
+    """The first observation (by obs_id) of each landmark in each wanted frame."""
+    near = once(obs, "obs_id").join(frames.select("frame_id").distinct(), "frame_id", "left_semi")
+    return near.groupBy(key, "frame_id").agg(F.min_by(F.struct("obs_id", "u", "v"), "obs_id").alias("o")).select(key, "frame_id", "o.*")
+
+
+def fine_means(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Mean of each key's non-zero fine descriptors, normalised; keys without any have none."""
+    return mean_vectors(rows.filter(vec.norm(F.col(vector)) > vec.EPS), key, vector)
+
+
+def merge_within(points: DataFrame, group: str, radius: float, least: float) -> DataFrame:
+    """(group, obs_id, landmark_no): observations merged, in order of obs_id, into the landmark within the radius and
+    with at least this cosine whose cosine less a quarter of its distance is greatest; else a new landmark.
+
+    Every merge moves its landmark, so the fold over a group is sequential; groups (scenes, sequences) run in parallel.
+    """
+    import numpy as np
+
+    from waymark.streaming.online import Memory, Online
+
+    kind = dict(points.dtypes)[group]
+    how = Online(merge_radius=radius, merge_cosine=least)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("obs_id")
+        desc = np.array(table.column("desc").to_pylist(), dtype=np.float64)
+        xyz = np.array(table.column("xyz").to_pylist(), dtype=np.float64)
+        memory, numbers = Memory(desc.shape[1]), []
+        for i in range(len(desc)):
+            numbers.append(memory.add(xyz[i : i + 1], desc[i : i + 1], i, how)[0])
+        return pa.table({group: table.column(group), "obs_id": table.column("obs_id"), "landmark_no": pa.array(numbers, pa.int64())})
+
+    return points.select(group, "obs_id", "xyz", "desc").filter("xyz is not null and desc is not null").groupBy(group).applyInArrow(run, f"{group} {kind}, obs_id bigint, landmark_no bigint")

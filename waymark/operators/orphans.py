@@ -137,16 +137,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit({c: np.concatenate([k[c] for k in kept]) for c in names})
 
 
-def advance(state: DataFrame | None, refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
-    """The state after an increment: STATE's columns and `arrived` (of the parent, null if it hasn't come).
-
-    state: what an earlier call gave, or None. Its open and sound references are probed again, so that
-    arrivals resolve and deletions reopen them.
-    """
+def _probe(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
+    """The state of the keys of these references and parents."""
     spark = refs.sparkSession
-    if state is not None:
-        refs = refs.unionByName(state.filter("kind = 1").select("field", "target", "row_id", "at"))
-        parent_rows = parent_rows.unionByName(state.filter("kind = 0").select("field", "target", "at", "gone").distinct())
     hot = _hot(refs)
     if hot:
         kinds = "field int, target bigint, salts int"
@@ -162,15 +155,48 @@ def advance(state: DataFrame | None, refs: DataFrame, parent_rows: DataFrame) ->
     return keyed.mapInArrow(_scan, STATE + ", arrived bigint")
 
 
+def advance(state: DataFrame | None, refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
+    """The state after an increment: STATE's columns and `arrived` (of the parent, null if it hasn't come).
+
+    state: what an earlier call gave, or None. Only the keys that the increment names are probed again, with
+    what the state holds of them: waiting orphans are resolved by arrivals, deletions reopen references. All
+    other keys pass through as they are.
+    """
+    if state is None:
+        return _probe(refs, parent_rows)
+    key = ["field", "target"]
+    touched = refs.select(*key).unionByName(parent_rows.select(*key)).distinct()
+    known = state.join(touched, key, "left_semi")
+    refs = refs.unionByName(known.filter("kind = 1").select("field", "target", "row_id", "at"))
+    parent_rows = parent_rows.unionByName(known.filter("kind = 0").select("field", "target", "at", "gone").distinct())
+    return _probe(refs, parent_rows).unionByName(state.join(touched, key, "left_anti"))
+
+
+def in_periods(refs: DataFrame, parent_rows: DataFrame, edges: list[int]) -> list[tuple[DataFrame, DataFrame]]:
+    """Increments by time: what arrives or is deleted before each edge (microseconds) and not before the last one; the rest at the end."""
+    out = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        inside = lambda c: (F.lit(True) if low is None else F.col(c) >= low) & (F.lit(True) if high is None else F.col(c) < high)  # noqa: E731, B023
+        arrived = parent_rows.filter(inside("at")).withColumn("gone", F.when(inside("gone"), F.col("gone")))
+        deleted = parent_rows.filter(inside("gone") & ~inside("at"))
+        out.append((refs.filter(inside("at")), arrived.unionByName(deleted)))
+    return out
+
+
 FIELDS = ("points3d.image_ids", "images.point3d_ids", "images.camera_id")
 
 
-def model_state(points: DataFrame, images: DataFrame, cameras: DataFrame) -> DataFrame:
-    """The pending-orphan state of a reconstruction's three reference fields."""
+def model_events(points: DataFrame, images: DataFrame, cameras: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References and parents of a reconstruction's three reference fields."""
     named = images.withColumn("point3d_ids", F.filter("point3d_ids", lambda x: x != -1))
     refs = references(points, 0, "point3d_id", "image_ids").unionByName(references(named, 1, "image_id", "point3d_ids")).unionByName(references(images, 2, "image_id", "camera_id"))
     known = parents(images, 0, "image_id").unionByName(parents(points, 1, "point3d_id")).unionByName(parents(cameras, 2, "camera_id"))
-    return advance(None, refs, known)
+    return refs, known
+
+
+def model_state(points: DataFrame, images: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Their pending-orphan state in one increment."""
+    return advance(None, *model_events(points, images, cameras))
 
 
 def _named(state: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from waymark.catalog import query
 from waymark.operators import orphans, rejects, treeagg
 from waymark.tables import table
@@ -54,9 +56,23 @@ def p4_per_month(spark, sf_dir):
     return orphans.per_month(_state(spark, sf_dir))
 
 
-@query("p4_snapshots")
+_SNAPSHOTS = """
+, all_refs AS (SELECT r.ref_field, a, pa, g FROM r LEFT JOIN p ON r.ref_field = p.ref_field AND r.target_id = p.id
+  WHERE target_id IS NOT NULL AND NOT (r.ref_field = 'images.point3d_ids' AND target_id = -1)),
+e AS (SELECT ref_field, a AS t, 1 AS d FROM all_refs WHERE pa IS NULL OR g <= a OR pa > a
+  UNION ALL SELECT ref_field, pa, -1 FROM all_refs WHERE pa > a AND (g IS NULL OR (g > a AND g > pa))
+  UNION ALL SELECT ref_field, g, 1 FROM all_refs WHERE g > a AND g > pa),
+m AS (SELECT ref_field, strftime(t, '%Y-%m') AS month, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS opened, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS closed FROM e GROUP BY 1, 2)
+SELECT ref_field, month, opened, closed, (sum(opened - closed) OVER (PARTITION BY ref_field ORDER BY month))::BIGINT AS open_at_end FROM m
+"""
+
+
+@query("p4_snapshots", _REFS.rstrip() + _SNAPSHOTS)
 def p4_snapshots(spark, sf_dir):
-    return orphans.snapshots(_state(spark, sf_dir))
+    """Open orphans by month; the state is kept over increments of a quarter each."""
+    refs, known = orphans.model_events(*(table(spark, sf_dir, n) for n in ("points3d", "images", "cameras")))
+    edges = [int(datetime(2024, m, 1, tzinfo=timezone.utc).timestamp()) * 1_000_000 for m in (4, 7, 10)]
+    return orphans.snapshots(orphans.by_increments(orphans.in_periods(refs, known, edges)))
 
 
 @query(

@@ -56,8 +56,9 @@ class Memory:
     def _keep(self, at: np.ndarray) -> None:
         self.xyz, self.sums, self.ids, self.n, self.last = (x[at] for x in (self.xyz, self.sums, self.ids, self.n, self.last))
 
-    def add(self, world: np.ndarray, desc: np.ndarray, seq: int, how: Online) -> None:
-        """Merge each observation into the best landmark within reach, or start a new one; in the order given."""
+    def add(self, world: np.ndarray, desc: np.ndarray, seq: int, how: Online) -> list[int]:
+        """Merge each observation into the best landmark within reach, or start a new one; in the order given. Gives their ids."""
+        went = []
         for p, d in zip(world, desc):
             if len(self.xyz):
                 dist = np.linalg.norm(self.xyz - p, axis=1)
@@ -69,12 +70,15 @@ class Memory:
                     self.xyz[k] += (p - self.xyz[k]) / self.n[k]
                     self.sums[k] += d
                     self.last[k] = seq
+                    went.append(int(self.ids[k]))
                     continue
             self.xyz = np.vstack([self.xyz, p])
             self.sums = np.vstack([self.sums, d])
             self.ids = np.append(self.ids, self.next_id)
             self.n, self.last = np.append(self.n, 1), np.append(self.last, seq)
+            went.append(self.next_id)
             self.next_id += 1
+        return went
 
     def prune(self, seq: int, how: Online) -> None:
         keep = np.flatnonzero((self.n >= how.min_obs) & (seq - self.last <= how.max_age))
