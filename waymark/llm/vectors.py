@@ -54,7 +54,7 @@ FEW_PAIRS = 50_000  # pairs to compute again that may be broadcast
 @dataclass(frozen=True)
 class Forest:
     trees: int = 6
-    candidates: int = 24_576  # of all trees together
+    candidates: int = 32_768  # of all trees together
     dim: int = 64
     seed: int = 17
     leaf: int = 8192  # vectors of a subtree
