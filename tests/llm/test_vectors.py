@@ -80,7 +80,7 @@ def test_equal_vectors_and_copies(spark):
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     ok = [1.0] + [0.0] * 15
-    bad = [None, [], ok[:15], [*ok, 1.0], [0.0] * 16, [nan, *ok[1:]], [inf, *ok[1:]], [None, *ok[1:]]]
+    bad = [None, [], ok[:15], [*ok, 1.0], [None, *ok], [*ok, None], [0.0] * 16, [nan, *ok[1:]], [inf, *ok[1:]], [None, *ok[1:]]]
     a = [(0, ok)] + [(1 + i, x) for i, x in enumerate(bad)]
     b = [(50, [3.0] + [0.0] * 15), (51, [1e-30] + [0.0] * 15)] + [(60 + i, x) for i, x in enumerate(bad)]
     assert run(spark, a, b, 5, 0.9, Forest(trees=2, candidates=64, dim=16)) == {(0, 50), (0, 51)}

@@ -38,7 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.tables import cut, partitions
@@ -114,8 +114,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.nd
         yield whole()
 
 
+def _key(vector: str) -> Column:
+    """Key of a vector's content; the size tells apart what differs in nulls only, which the hash passes over."""
+    return F.xxhash64(F.col(vector), F.size(vector))
+
+
 def _vectors(df: DataFrame, vector: str) -> DataFrame:
-    return df.filter(F.col(vector).isNotNull()).select(F.xxhash64(F.col(vector)).alias("vkey"), F.col(vector).alias("vec"))
+    return df.filter(F.col(vector).isNotNull()).select(_key(vector).alias("vkey"), F.col(vector).alias("vec"))
 
 
 def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -431,7 +436,7 @@ def _few_ids(df: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
         if n:
             yield prune()
 
-    ids = df.filter(F.col(vector).isNotNull() & F.col(id_).isNotNull()).select(F.xxhash64(F.col(vector)).alias("lkey"), F.col(id_).cast("bigint").alias("id"))
+    ids = df.filter(F.col(vector).isNotNull() & F.col(id_).isNotNull()).select(_key(vector).alias("lkey"), F.col(id_).cast("bigint").alias("id"))
     return ids.mapInArrow(run, "lkey bigint, id bigint").groupBy("lkey").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k).alias("ids"))
 
 
@@ -466,7 +471,7 @@ def most_similar(queries: DataFrame, query_id: str, query_vector: str, base: Dat
         scored = scored.filter(F.col("cosine") >= min_cosine)
     final = scored.withColumn("r", F.row_number().over(per.orderBy("unsure", F.desc("cosine"), "id"))).filter(F.col("r") <= k).select("akey", "id", "cosine")
 
-    ids = queries.filter(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).alias("qid"), F.xxhash64(F.col(query_vector)).alias("akey")).distinct()
+    ids = queries.filter(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).alias("qid"), _key(query_vector).alias("akey")).distinct()
     return ids.join(final, "akey").select(F.col("qid").alias(query_id), F.col("id").alias(base_id), "cosine")
 
 
