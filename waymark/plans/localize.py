@@ -77,7 +77,8 @@ def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates
     passed = near.filter(F.col("cosine") >= m.least_cosine) if m.adaptive_margin is None else retrieval.adaptive_cosine(near, anchor, "cosine", m.least_cosine, m.adaptive_margin).drop("floor")
     passed = passed.join(short.select("query_id", "point_id"), ["query_id", "point_id"], "left_semi")
     wide = retrieval.late_join(passed, short, lms, "point_id").join(anchors.select("anchor_id", "desc"), "anchor_id")
-    scored = cut(score_rows(wide, m).select("query_id", "anchor_idx", "point_id", "cosine", "score"))
+    scored = score_rows(wide, m).filter(F.col("score") > scores.GATED)  # the geometry gate closes candidates
+    scored = cut(scored.select("query_id", "anchor_idx", "point_id", "cosine", "score"))
     best = retrieval.accepted(scored, anchor, "score", "point_id", m.least_score, m.margin)
     edges = best.select("query_id", "anchor_idx", "point_id", "score")
     if m.guarantee:

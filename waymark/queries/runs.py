@@ -220,7 +220,8 @@ def active_pairs(spark, sf_dir):
 def pose_lines(spark, sf_dir):
     """Result lines of all images, written and read again."""
     rows = views.posed_images(spark, sf_dir).select(F.concat(F.lit("img"), "image_id").alias("name"), "T_wc")
-    at = tempfile.mkdtemp(prefix="waymark-lines-") if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None else os.path.join(spark.sparkContext.getConf().get("spark.checkpoint.dir"), "pose_lines_" + os.urandom(6).hex())
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    at = os.path.join(shared, "pose_lines_" + os.urandom(6).hex()) if shared else tempfile.mkdtemp(prefix="waymark-lines-")
     sinks.save_poses(rows, at)
     back = lists.predicted_poses(spark.read.text(at).selectExpr("'f' as file", "0 as no", "value as line"))
     return back.select("name", *[F.round(F.col("T_wc")[4 * i + 3], 4).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])

@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if where is None:
             where = os.path.join(tempfile.gettempdir(), f"waymark-checkpoint-{os.getuid()}")
         sc.setCheckpointDir(where)
