@@ -133,10 +133,13 @@ def ppca_landmarks(spark, sf_dir):
     return s.select("point_id", "n_obs", r6(F.col("spread")).alias("spread"), F.round(energy, 5).alias("energy"))
 
 
-@query("ppca_compact")
+@query("ppca_compact", _PPCA.replace(", 6) AS spread", ", 4) AS spread").replace(", 5) AS energy", ", 3) AS energy"))
 def ppca_compact(spark, sf_dir):
+    """The floored variant; where no floor is reached, its variances make the total energy too."""
     s = landmarks.subspaces(views.obs(spark, sf_dir), "point_id", "d", 2, floored=True, order="vec_id")
-    return s.select("point_id", "n_obs", r6(F.col("eigvals")[0]).alias("first"), r6(F.col("sigma_perp2")).alias("sigma_perp2"))
+    kept = F.aggregate("eigvals", F.lit(0.0), lambda a, x: a + x)
+    energy = (F.col("n_obs") - 1) * (kept + F.col("sigma_perp2") * (64 - F.size("eigvals")))
+    return s.select("point_id", "n_obs", F.round("spread", 4).alias("spread"), F.round(energy, 3).alias("energy"))
 
 
 @query("ppca_score")

@@ -9,17 +9,69 @@ from waymark.operators import orphans, rejects, treeagg
 from waymark.tables import table
 
 
-@query("p3_found")
+_INT = "(regexp_full_match({0}, ' *-?[0-9]+ *') AND coalesce(TRY_CAST(trim({0}, ' ') AS HUGEINT) BETWEEN {1} AND {2}, false))"
+_DEC = r"(regexp_full_match({0}, ' *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *') AND coalesce(isfinite(TRY_CAST(ltrim(trim({0}, ' '), '+') AS DOUBLE)), false))"
+_NUM = "TRY_CAST(ltrim(trim({0}, ' '), '+') AS DOUBLE)"
+
+
+def _int(x: str, low: int, high: int) -> str:
+    return _INT.format(x, low, high)
+
+
+def _all(items: str, test: str) -> str:
+    return f"len(list_filter({items}, lambda v: NOT {test})) = 0"
+
+
+def _as_int(i: int) -> str:
+    return f"CAST(trim(f[{i}], ' ') AS INTEGER)"
+
+
+_RAW = (
+    r"""
+WITH raw AS (SELECT record_id, any_value(rec_type) AS rec_type, any_value(body) AS body, min(loaded_at) AS loaded_at FROM raw_records GROUP BY record_id),
+rec AS (SELECT *, regexp_full_match(body, '(?s)(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*') AS well,
+    list_transform(regexp_extract_all(',' || body, '(?s),("(?:[^"]|"")*"|[^,"]*)', 1), lambda x: CASE WHEN x[1] = '"' THEN x[2:len(x) - 1] ELSE x END) AS f
+  FROM raw WHERE body IS NOT NULL AND NOT regexp_full_match(body, '\s*') AND NOT regexp_matches(body, '^\s*#')),
+lst AS (SELECT *, CASE WHEN trim(f[5], ' ') = '' THEN [] ELSE string_split(f[5], ',') END AS ps, CASE WHEN trim(f[9], ' ') = '' THEN [] ELSE string_split(f[9], ',') END AS ims,
+    CASE WHEN trim(f[10], ' ') = '' THEN [] ELSE string_split(f[10], ',') END AS ixs, CASE f[2] """
+    + " ".join(f"WHEN '{m}' THEN {n}" for m, n in rejects.CAMERA_MODELS.items())
+    + """ END AS needs FROM rec),
+told AS (SELECT *, CASE WHEN NOT well THEN 'quoting' WHEN len(f) <> CASE rec_type WHEN 'camera' THEN 6 WHEN 'point3d' THEN 10 ELSE -1 END THEN 'column_count'
+  WHEN rec_type = 'camera' AND NOT ("""
+    + " AND ".join([_int("f[1]", 1, 2**63 - 1), _int("f[3]", 1, 2**31 - 1), _int("f[4]", 1, 2**31 - 1), "coalesce(len(ps) = needs, false)", _all("ps", _DEC.format("v"))])
+    + ") THEN 'invalid_value' WHEN rec_type = 'point3d' AND NOT ("
+    + " AND ".join(
+        [_int("f[1]", 1, 2**63 - 1), *[_DEC.format(f"f[{i}]") for i in (2, 3, 4, 8)], *[_int(f"f[{i}]", 0, 255) for i in (5, 6, 7)]]
+        + ["coalesce(" + _NUM.format("f[8]") + " >= 0, false)", "len(ims) = len(ixs)", _all("ims", _int("v", 1, 2**31 - 1)), _all("ixs", _int("v", 0, 2**31 - 1))]
+    )
+    + ") THEN 'invalid_value' END AS reason FROM lst)\n"
+)
+_P3_FOUND = _RAW + "SELECT record_id, reason FROM told WHERE reason IS NOT NULL"
+_P3_CAMERAS = (
+    _RAW
+    + "SELECT record_id, CAST(trim(f[1], ' ') AS BIGINT) AS camera_id, f[2] AS camera_model, "
+    + f"{_as_int(3)} AS width, {_as_int(4)} AS height, list_transform(ps, lambda v: {_NUM.format('v')}) AS params, "
+    + """replace(f[6], '""', '"') AS label, loaded_at FROM told WHERE reason IS NULL AND rec_type = 'camera'"""
+)
+_P3_POINTS = (
+    _RAW
+    + "SELECT record_id, CAST(trim(f[1], ' ') AS BIGINT) AS point3d_id, "
+    + f"[{', '.join(_NUM.format(f'f[{i}]') for i in (2, 3, 4))}] AS xyz, [{', '.join(map(_as_int, (5, 6, 7)))}] AS rgb, {_NUM.format('f[8]')} AS point_error, "
+    + "list_transform(ims, lambda v: CAST(trim(v, ' ') AS BIGINT)) AS image_ids, list_transform(ixs, lambda v: CAST(trim(v, ' ') AS INTEGER)) AS point2d_idxs, loaded_at FROM told WHERE reason IS NULL AND rec_type = 'point3d'"
+)
+
+
+@query("p3_found", _P3_FOUND)
 def p3_found(spark, sf_dir):
     return rejects.failing(table(spark, sf_dir, "raw_records"))
 
 
-@query("p3_cameras")
+@query("p3_cameras", _P3_CAMERAS)
 def p3_cameras(spark, sf_dir):
     return rejects.loaded_cameras(table(spark, sf_dir, "raw_records"))
 
 
-@query("p3_points")
+@query("p3_points", _P3_POINTS)
 def p3_points(spark, sf_dir):
     return rejects.loaded_points(table(spark, sf_dir, "raw_records"))
 
