@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from waymark.llm import astime, bpe, mixing, reading, topn, vectors
 from waymark.tables import table
 
@@ -36,6 +38,13 @@ def p1_found(spark, sf_dir):
     return vectors.similar_landmarks(table(spark, sf_dir, "anchors"), table(spark, sf_dir, "landmarks")).drop("cosine")
 
 
+@query("p1_neighbors", _SIMILAR + "SELECT anchor_id, list_sort(list(landmark_id)) AS landmark_ids, count(*) AS n_found FROM r WHERE k <= 10 GROUP BY 1")
+def p1_neighbors(spark, sf_dir):
+    """The list of each anchor's landmarks, by id; at most ten."""
+    found = vectors.similar_landmarks(table(spark, sf_dir, "anchors"), table(spark, sf_dir, "landmarks"))
+    return found.groupBy("anchor_id").agg(F.array_sort(F.collect_list("landmark_id")).alias("landmark_ids"), F.count("*").alias("n_found"))
+
+
 @query(
     "p2_found",
     """
