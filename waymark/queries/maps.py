@@ -10,7 +10,7 @@ from waymark.operators import assign, candidates, landmarks, retrieval
 from waymark.plans import localize
 from waymark.queries import views
 from waymark.queries.views import MATCHES_SQL, RETRIEVALS_SQL
-from waymark.tables import table
+from waymark.tables import cut, table
 
 
 def r6(c):
@@ -38,7 +38,7 @@ def memory(spark, sf_dir):
     means = landmarks.mean_vectors(seen, "point_id", "d")
     spread = landmarks.spreads(seen, means, "point_id", "d")
     static = scores.staticness(F.col("n_obs"), F.col("spread"), F.lit(0.0), F.lit(0.35))
-    lms = means.join(spread, "point_id").withColumn("staticness", static)
+    lms = cut(means.join(spread, "point_id").withColumn("staticness", static))  # read several times below
     anchors = e.filter("held_out").select(F.col("vec_id").alias("anchor_id"), F.col("frame_id").alias("query_id"), F.col("vec_id").alias("anchor_idx"), F.col("d").alias("desc"))
     return lms, anchors
 
