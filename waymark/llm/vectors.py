@@ -57,7 +57,7 @@ class Forest:
     candidates: int = 32_768  # of all trees together
     dim: int = 64
     seed: int = 17
-    leaf: int = 8192  # vectors of a subtree
+    leaf: int = 16_384  # vectors of a subtree
     counted: int = 12  # bits of the prefixes counted at first
 
     def planes(self) -> np.ndarray:
