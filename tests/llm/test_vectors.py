@@ -101,3 +101,24 @@ def test_error_bound_of_the_16_bit_form():
     s = np.abs(x).max(axis=1) / 32767
     err = np.linalg.norm(np.rint(x / s[:, None]) * s[:, None] - x, axis=1)
     assert (err <= s * np.sqrt(64) / 2).all()
+
+
+def test_forest_grows_with_the_collection():
+    for n in (10**4, 10**5, 10**6, 10**7, 10**9):
+        f = Forest().grown(n, 0.85)
+        depth = min(f.counted, f.deepest(0.85))
+        same = (1 - np.arccos(0.85) / np.pi) ** depth
+        assert 1 - (1 - same) ** f.trees >= 0.9
+        assert f.candidates // f.trees == Forest().candidates // Forest().trees
+    assert Forest().grown(125_000, 0.85).trees == 6 < Forest().grown(1_250_000, 0.85).trees < Forest().grown(12_500_000, 0.85).trees
+    assert Forest().deepest(-1.0) == 0 and Forest().deepest(1.0) == vectors.BITS
+
+
+def test_a_dense_cluster_is_compared_whole(spark):
+    """A third of the vectors and of the queries in one narrow cone: many times a tree's share of the candidates."""
+    b = cloud(4000, 30, 0.3, 6)
+    rng = np.random.default_rng(7)
+    near = lambda n: [(10_000 + i, (b[0][1] + rng.normal(size=16) * 0.2).astype(np.float32)) for i in range(n)]
+    a, b = near(40), b + near(2000)
+    got, want = run(spark, a, b, 5, 0.9, Forest(trees=4, candidates=80, dim=16, leaf=100)), brute(a, b, 5, 0.9)
+    assert len(want) == 200 and len(got & want) >= 0.9 * len(want)

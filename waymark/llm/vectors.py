@@ -6,6 +6,12 @@ of these strings. A query descends to the longest prefix that still has enough
 vectors and ascends, in all trees at the same depth, until the trees together
 hold `candidates` of them; those are compared by cosine.
 
+The number of trees grows with the collection, and no query descends deeper than
+the depth at which a pair of the least wanted cosine shares its prefix in some
+tree with probability `recall`. So where many vectors lie close together a query
+is compared with all that share the prefix, however many they are: pairs of a
+small angle share it nearly surely, and no budget cuts them off.
+
 On a cluster the sorted arrays are cut into subtrees of at most `leaf` vectors.
 How many vectors share each of the first `counted` bits is counted beforehand
 (at most 2^counted numbers a tree, whatever the size of the data); from the
@@ -19,7 +25,8 @@ to all tasks stays bounded. In a subtree the queries with the same range of the
 sorted array are compared with that range by one matrix product.
 
 Equal vectors are one vector with several ids. Vectors travel as 16-bit
-numbers with a proven bound of the error; wherever that bound could change the
+numbers with a proven bound of the error, to subtrees of dense places (where that
+bound would leave too many pairs open) as 32-bit numbers; wherever that bound could change the
 result, the cosine is computed again from the original vectors.
 
 The result is approximate: what is lost are neighbours that share no prefix of
@@ -34,7 +41,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +54,43 @@ BITS = 56
 QUERIES = 32_768  # queries sent to one copy of a subtree
 MOST_LEAVES = 1 << 15  # of a tree: on larger collections subtrees grow instead of the plan
 MOST_PREFIXES = 1 << 16  # of a tree, counted at once below the first level
+MOST_TREES = 32  # on collections that would need more, queries stay at a smaller depth instead
+MOST_COUNTED = 16  # bits of the first counts, whatever the size of the collection
+SENT = 500_000  # copies of queries packed at once
 CHUNK = 60_000
 FEW_PAIRS = 50_000  # pairs to compute again that may be broadcast
 
 
 @dataclass(frozen=True)
 class Forest:
-    trees: int = 6
-    candidates: int = 32_768  # of all trees together
+    trees: int = 6  # at least; more on larger collections
+    candidates: int = 32_768  # of all these trees together
     dim: int = 64
     seed: int = 17
     leaf: int = 16_384  # vectors of a subtree
-    counted: int = 12  # bits of the prefixes counted at first
+    counted: int = 12  # bits of the prefixes counted at first; more on larger collections
+    near: float = 0.85  # cosine of the pairs to find where the call names none
+    recall: float = 0.9  # least probability that such a pair shares a visited prefix
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.dim, self.trees * BITS)).astype(np.float32)
 
+    def deepest(self, cosine: float) -> int:
+        """The greatest depth at which a pair of this cosine shares its prefix in some tree with probability `recall`."""
+        same = 1 - float(np.arccos(np.clip(cosine, -1, 1))) / np.pi  # the same side of one plane
+        if same <= 0:
+            return 0
+        return BITS if same >= 1 else min(BITS, int(np.log(1 - (1 - self.recall) ** (1 / self.trees)) / np.log(same)))
+
+    def grown(self, n: int, cosine: float) -> Forest:
+        """The forest for n vectors: so many trees that a query for pairs of this cosine needn't have more candidates a tree."""
+        enough = self.candidates // self.trees
+        depth = min(MOST_COUNTED, max(1, n // max(1, enough)).bit_length() - 1)
+        out = self
+        while out.trees < MOST_TREES and out.deepest(cosine) < depth:
+            out = replace(out, trees=out.trees + 1)
+        return replace(out, candidates=enough * out.trees if out.trees > self.trees else self.candidates, counted=max(self.counted, depth))
+
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The usable rows of a list column as a matrix of unit vectors, and their numbers."""
@@ -85,9 +113,13 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _codes(x: np.ndarray, centre: np.ndarray, planes: np.ndarray, trees: int) -> np.ndarray:
     """Hash strings (vector, tree) of BITS bits as integers; the first bit is the highest."""
-    bits = np.zeros((len(x), trees, 64), bool)
-    bits[:, :, 64 - BITS :] = ((x - centre) @ planes > 0).reshape(len(x), trees, BITS)
-    return np.packbits(bits, axis=2).view(">u8").reshape(len(x), trees).astype(np.int64)
+    codes = np.zeros((len(x), trees), np.int64)
+    for a in range(0, len(x), 8192):
+        part = x[a : a + 8192]
+        bits = np.zeros((len(part), trees, 64), bool)
+        bits[:, :, 64 - BITS :] = ((part - centre) @ planes > 0).reshape(len(part), trees, BITS)
+        codes[a : a + 8192] = np.packbits(bits, axis=2).view(">u8").reshape(len(part), trees)
+    return codes
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -123,8 +155,8 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.filter(F.col(vector).isNotNull()).select(_key(vector).alias("vkey"), F.col(vector).alias("vec"))
 
 
-def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Mean of all unit vectors, rounded so that the order of the sums doesn't matter."""
+def _centre(vectors: DataFrame, dim: int) -> tuple[np.ndarray, int]:
+    """Mean of all unit vectors, rounded so that the order of the sums doesn't matter, and their number (copies in other chunks count again)."""
 
     def run(batches):
         total, n = np.zeros(dim), 0
@@ -133,11 +165,11 @@ def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
             n += len(x)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(dim, dtype=np.int32)), "s": pa.array(total), "n": pa.array(np.full(dim, n))})
 
-    sums = vectors.mapInArrow(run, "i int, s double, n bigint").groupBy("i").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1))).alias("m")).collect()
+    sums = vectors.mapInArrow(run, "i int, s double, n bigint").groupBy("i").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1))).alias("m"), F.sum("n").alias("n")).collect()
     centre = np.zeros(dim, np.float32)
     for r in sums:
         centre[r["i"]] = round(r["m"], 4)
-    return centre
+    return centre, max((r["n"] for r in sums), default=0)
 
 
 Level = list[tuple[np.ndarray, np.ndarray]]
@@ -171,14 +203,15 @@ def _counts(vectors: DataFrame, forest: Forest, centre: np.ndarray, depth: int,
 
 @dataclass
 class Plan:
-    """Where vectors and queries go. starts, nearby, blocks, copies: per tree, of each subtree."""
+    """Where vectors and queries go. starts, blocks, copies, fine: per tree, of each subtree."""
 
     centre: np.ndarray
+    deepest: int  # no query descends deeper
     sums: list[np.ndarray]  # per tree, running numbers of vectors by prefix of `counted` bits
     starts: list[np.ndarray]
-    nearby: list[np.ndarray]  # first and last subtree below the deepest prefix with enough candidates
     blocks: list[np.ndarray]
     copies: list[np.ndarray]
+    fine: list[np.ndarray]  # whether it is one of many at a depth queries stop at
 
 
 @dataclass
@@ -210,8 +243,7 @@ def _cut_tree(counts: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np
     return out
 
 
-def _plan(vectors: DataFrame, queries: DataFrame, forest: Forest) -> Plan:
-    centre = _centre(vectors, forest.dim)
+def _plan(vectors: DataFrame, queries: DataFrame, forest: Forest, centre: np.ndarray, cosine: float) -> Plan:
     level = _counts(vectors, forest, centre, forest.counted)
     asked = _counts(queries, forest, centre, forest.counted)
     most = max(forest.leaf, max(int(c.sum()) for _, c in level) // MOST_LEAVES)
@@ -236,37 +268,21 @@ def _plan(vectors: DataFrame, queries: DataFrame, forest: Forest) -> Plan:
             trees[t] = [x for x in tree if x.start not in split]
             for x in large[t]:
                 trees[t] += _cut_tree(level[t], asked[t], depth, x.start >> (BITS - x.depth), x.depth, most)
-    starts, nearby, blocks, copies = [], [], [], []
+    deepest = min(forest.counted, forest.deepest(cosine))
+    starts, blocks, copies, fine = [], [], [], []
     for tree in trees:
         tree.sort(key=lambda x: x.start)
         starts.append(np.array([x.start for x in tree], np.int64))
-        nearby.append(_nearby(tree, starts[-1], forest))
         blocks.append(np.maximum(1, -(-np.array([x.size for x in tree]) // most)))
         copies.append(np.maximum(1, -(-np.array([x.asked for x in tree]) // QUERIES)))
-    return Plan(centre, sums, starts, nearby, blocks, copies)
-
-
-def _nearby(tree: list[Leaf], starts: np.ndarray, forest: Forest) -> np.ndarray:
-    """For each subtree, the first and last one below its deepest prefix (of at least `counted` bits) with enough vectors."""
-    enough = forest.candidates // forest.trees
-    run = np.concatenate([[0], np.cumsum([x.size for x in tree])])
-    out = np.zeros((len(tree), 2), np.int64)
-    for i, x in enumerate(tree):
-        d = max(x.depth, forest.counted)
-        while True:
-            low = (x.start >> (BITS - d)) << (BITS - d)
-            a, b = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, low + (1 << (BITS - d)) - 1, "right") - 1
-            if d <= forest.counted or run[b + 1] - run[a] >= enough:
-                break
-            d -= 1
-        out[i] = a, b
-    return out
+        fine.append(np.array([x.depth > deepest + 1 for x in tree]))
+    return Plan(centre, deepest, sums, starts, blocks, copies, fine)
 
 
 def _depths(codes: np.ndarray, plan: Plan, forest: Forest) -> np.ndarray:
-    """The deepest level, the same in all trees, at which they together have enough candidates."""
+    """The deepest level, the same in all trees and at most the plan's, at which they together have enough candidates."""
     depth = np.zeros(len(codes), np.int64)
-    for d in range(1, forest.counted + 1):
+    for d in range(1, plan.deepest + 1):
         total = np.zeros(len(codes), np.int64)
         for t, run in enumerate(plan.sums):
             p = codes[:, t] >> (BITS - d)
@@ -276,8 +292,8 @@ def _depths(codes: np.ndarray, plan: Plan, forest: Forest) -> np.ndarray:
     return depth
 
 
-def _record(dim: int) -> np.dtype:
-    return np.dtype([("key", "<i8"), ("code", "<i8"), ("scale", "<f4"), ("depth", "u1"), ("x", "<i2", (dim,))])
+def _record(dim: int, fine: bool = False) -> np.dtype:
+    return np.dtype([("key", "<i8"), ("code", "<i8"), ("scale", "<f4"), ("depth", "u1"), ("x", "<f4" if fine else "<i2", (dim,))])
 
 
 def _send(plan: Plan, forest: Forest, asking: bool):
@@ -298,39 +314,52 @@ def _send(plan: Plan, forest: Forest, asking: bool):
                 rec["depth"] = _depths(codes, plan, forest)
             for t in range(trees):
                 rec["code"] = codes[:, t]
-                if asking:
-                    shift = (BITS - rec["depth"].astype(np.int64))
-                    low = (codes[:, t] >> shift) << shift
-                    first = np.searchsorted(plan.starts[t], low, "right") - 1
-                    last = np.searchsorted(plan.starts[t], low + (np.int64(1) << shift) - 1, "right") - 1
-                    deep = rec["depth"] == forest.counted  # enough even there: only the subtrees around the query's own
-                    own = plan.nearby[t][np.searchsorted(plan.starts[t], codes[deep, t], "right") - 1]
-                    first[deep], last[deep] = own[:, 0], own[:, 1]
-                    row, leaf = _spread(last - first + 1, first)
-                    each, block = _spread(plan.blocks[t][leaf], 0)
-                    row, leaf = row[each], leaf[each]
-                    copy = keys[row] % plan.copies[t][leaf]
-                else:
-                    leaf = np.searchsorted(plan.starts[t], codes[:, t], "right") - 1
-                    row, copy = _spread(plan.copies[t][leaf], 0)
-                    leaf = leaf[row]
-                    block = (keys[row] >> 8) % plan.blocks[t][leaf]
-                place = np.stack([np.full(len(row), t), leaf, block, copy])
-                order = np.lexsort(place[::-1])
-                place, row = place[:, order], row[order]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(place, axis=1) != 0).any(axis=0)]))
-                ends = np.append(new[1:], len(row))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        **{n: pa.array(place[i, new], pa.int32()) for i, n in enumerate(("tree", "leaf", "block", "copy"))},
-                        "asking": pa.array(np.full(len(new), asking)),
-                        "blob": pa.array([rec[row[a:b]].tobytes() for a, b in zip(new, ends)], pa.binary()),
-                    }
-                )
+                for place, row in _places(plan, t, keys, codes[:, t], rec["depth"].astype(np.int64), asking):
+                    order = np.lexsort(place[::-1])
+                    place, row = place[:, order], row[order]
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(place, axis=1) != 0).any(axis=0)]))
+                    ends = np.append(new[1:], len(row))
+
+                    def pack(a: int, b: int) -> bytes:
+                        part = rec[row[a:b]]
+                        if plan.fine[t][place[1, a]]:
+                            part = part.astype(_record(dim, True))
+                            part["x"] = x[row[a:b]]
+                        return part.tobytes()
+
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            **{n: pa.array(place[i, new], pa.int32()) for i, n in enumerate(("tree", "leaf", "block", "copy"))},
+                            "asking": pa.array(np.full(len(new), asking)),
+                            "blob": pa.array([pack(a, b) for a, b in zip(new, ends)], pa.binary()),
+                        }
+                    )
 
     return run
 
 
+def _places(plan: Plan, t: int, keys: np.ndarray, codes: np.ndarray, depth: np.ndarray, asking: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (tree, leaf, block, copy) in tree t and the row that goes to each: of vectors at once, of queries about SENT at a time."""
+    if not asking:
+        leaf = np.searchsorted(plan.starts[t], codes, "right") - 1
+        row, copy = _spread(plan.copies[t][leaf], 0)
+        leaf = leaf[row]
+        block = (keys[row] >> 8) % plan.blocks[t][leaf]
+        yield np.stack([np.full(len(row), t), leaf, block, copy]), row
+        return
+    shift = BITS - depth
+    low = (codes >> shift) << shift
+    first = np.searchsorted(plan.starts[t], low, "right") - 1
+    last = np.searchsorted(plan.starts[t], low + (np.int64(1) << shift) - 1, "right") - 1
+    run = np.concatenate([[0], np.cumsum(plan.blocks[t])])
+    piece = np.cumsum(run[last + 1] - run[first]) // SENT
+    for some in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(piece)) + 1):
+        row, leaf = _spread(last[some] - first[some] + 1, first[some])
+        each, block = _spread(plan.blocks[t][leaf], 0)
+        row, leaf = some[row[each]], leaf[each]
+        yield np.stack([np.full(len(row), t), leaf, block, keys[row] % plan.copies[t][leaf]]), row
+
+
 def _spread(times: np.ndarray, first) -> tuple[np.ndarray, np.ndarray]:
     """Each row number `times` times, and beside it first, first + 1, ..."""
     row = np.repeat(np.arange(len(times)), times)
@@ -341,44 +370,34 @@ def _spread(times: np.ndarray, first) -> tuple[np.ndarray, np.ndarray]:
 _PAIRS = "akey bigint, lkey bigint, sim double, err double"
 
 
-def _compare(forest: Forest, k: int, min_cosine: float | None):
+def _compare(forest: Forest, k: int, min_cosine: float | None, plan: Plan):
     """Queries of a subtree against their ranges of its sorted array."""
-    kind = _record(forest.dim)
-    enough = forest.candidates // forest.trees
+    half = np.sqrt(forest.dim) / 2
 
-    def unpack(blobs) -> tuple[np.ndarray, np.ndarray]:
-        rec = np.frombuffer(b"".join(blobs), dtype=kind)
+    def unpack(blobs, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Records, vectors and the bounds of their errors."""
+        rec = np.frombuffer(b"".join(blobs), dtype=_record(forest.dim, fine))
         _, first = np.unique(rec["key"], return_index=True)  # the same vector from several chunks
         rec = rec[first]
-        return rec, rec["x"].astype(np.float32) * rec["scale"][:, None]
+        if fine:
+            return rec, rec["x"].astype(np.float64), np.full(len(rec), 2.0**-23)
+        return rec, rec["x"].astype(np.float32) * rec["scale"][:, None], rec["scale"] * half
 
     def run(table: pa.Table) -> pa.Table:
         asking = table.column("asking").to_numpy()
         blobs = table.column("blob").to_pylist()
         parts: list[tuple] = []
         if asking.any() and not asking.all():
-            base, y = unpack([b for b, a in zip(blobs, asking) if not a])
+            fine = bool(plan.fine[table.column("tree")[0].as_py()][table.column("leaf")[0].as_py()])
+            rest = 1e-9 if fine else 2e-6  # errors of the product
+            base, y, e_base = unpack([b for b, a in zip(blobs, asking) if not a], fine)
             order = np.argsort(base["code"], kind="stable")
-            base, y = base[order], np.ascontiguousarray(y[order])
-            ask, x = unpack([b for b, a in zip(blobs, asking) if a])
-            code, codes = ask["code"], np.ascontiguousarray(base["code"])
-            depth = ask["depth"].astype(np.int64)
-
-            def span(d):
-                shift = BITS - d
-                low = (code >> shift) << shift
-                return np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << shift))
-
-            lo, hi = span(depth)
-            open_ = depth == forest.counted  # below the counted depth: descend in the array itself
-            while open_.any():
-                deeper = depth + open_
-                a, b = span(np.minimum(deeper, BITS))
-                open_ &= (b - a >= enough) & (deeper <= BITS)
-                depth = np.where(open_, deeper, depth)
-                lo, hi = np.where(open_, a, lo), np.where(open_, b, hi)
-            half = np.sqrt(forest.dim) / 2
-            e_ask, e_base = ask["scale"] * half, base["scale"] * half
+            base, y, e_base = base[order], np.ascontiguousarray(y[order]), e_base[order]
+            ask, x, e_ask = unpack([b for b, a in zip(blobs, asking) if a], fine)
+            codes = np.ascontiguousarray(base["code"])
+            shift = BITS - ask["depth"].astype(np.int64)
+            low = (ask["code"] >> shift) << shift
+            lo, hi = np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << shift))
             by = np.lexsort((hi, lo))
             change = np.flatnonzero(np.concatenate([[True], (np.diff(lo[by]) != 0) | (np.diff(hi[by]) != 0)])) if len(by) else []
             for s, e in zip(change, np.append(change[1:], len(by)) if len(by) else []):
@@ -390,7 +409,7 @@ def _compare(forest: Forest, k: int, min_cosine: float | None):
                 for at in range(s, e, step):
                     rows = by[at : min(e, at + step)]
                     sims = x[rows] @ y[a:b].T
-                    slack = (e_ask[rows] + widest) * 1.01 + 2e-6
+                    slack = (e_ask[rows] + widest) * 1.01 + rest
                     floor = np.full(len(rows), -2.0) if min_cosine is None else min_cosine - slack
                     if b - a > k:
                         many = np.flatnonzero((sims >= floor[:, None]).sum(axis=1) > k) if min_cosine is not None else np.arange(len(rows))
@@ -399,7 +418,7 @@ def _compare(forest: Forest, k: int, min_cosine: float | None):
                             floor[many] = np.maximum(floor[many], kth - 2 * slack[many])
                     r, c = np.nonzero(sims >= floor[:, None])
                     if len(r):
-                        parts.append((ask["key"][rows[r]], base["key"][a + c], sims[r, c], e_ask[rows[r]] + e_base[a + c] + 2e-6))
+                        parts.append((ask["key"][rows[r]], base["key"][a + c], sims[r, c], e_ask[rows[r]] + e_base[a + c] + rest))
         cols = [np.concatenate(p) for p in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
         return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("akey", "lkey", "sim", "err"), cols, (np.int64, np.int64, np.float64, np.float64))})
 
@@ -443,10 +462,13 @@ def _few_ids(df: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
 def most_similar(queries: DataFrame, query_id: str, query_vector: str, base: DataFrame, base_id: str, base_vector: str, k: int = 10, min_cosine: float | None = None, forest: Forest = Forest()) -> DataFrame:
     """(query_id, base_id, cosine): the k base vectors of highest cosine of every query, if at least min_cosine."""
     asked, there = _vectors(queries, query_vector), _vectors(base, base_vector)
-    plan = _plan(there, asked, forest)
+    cosine = forest.near if min_cosine is None else min_cosine
+    centre, n = _centre(there, forest.dim)
+    forest = forest.grown(n, cosine)
+    plan = _plan(there, asked, forest, centre, cosine)
     ddl = "tree int, leaf int, block int, copy int, asking boolean, blob binary"
     sent = there.mapInArrow(_send(plan, forest, False), ddl).unionByName(asked.mapInArrow(_send(plan, forest, True), ddl))
-    found = sent.groupBy("tree", "leaf", "block", "copy").applyInArrow(_compare(forest, k, min_cosine), _PAIRS)
+    found = sent.groupBy("tree", "leaf", "block", "copy").applyInArrow(_compare(forest, k, min_cosine, plan), _PAIRS)
     pairs = found.groupBy("akey", "lkey").agg(F.max("sim").alias("sim"), F.max("err").alias("err"))
 
     named = pairs.join(_few_ids(base, base_id, base_vector, k), "lkey").select("akey", "lkey", "sim", "err", F.explode("ids").alias("id"))
