@@ -248,3 +248,19 @@ def test_empty_evaluation(spark):
     one = spark.createDataFrame([(1, False, None, None)], none.schema)
     r = evaluate.recall(one, ["g"], "trans_err_m", "rot_err_deg").first()
     assert r.recall_0 is None and r.recall_all_0 == 0.0
+
+
+def test_store_scores_spread_and_needs_a_position(spark):
+    """Landmark 1 has descriptors close together, 2 scattered ones, 3 no position, 4 no descriptor."""
+    obs = spark.createDataFrame([(10 * n + i, n, i, 9.0) for n in (1, 2, 3, 4) for i in (1, 2)], "obs_id bigint, landmark_id bigint, frame_id bigint, reproj_error double")
+    points = spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [2.0, 0.0, 0.0])], "point3d_id bigint, xyz array<double>")
+    views = spark.createDataFrame([], "point3d_id bigint, image_id bigint, dir array<double>")
+    desc = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0]), (2, [-1.0, 0.01]), (3, [1.0, 0.0])], "landmark_id bigint, d array<double>")
+    found = {r.landmark_id: r for r in landmarks.build_store(obs, views, points, landmarks.subspaces(desc, "landmark_id", "d", 1)).collect()}
+    assert sorted(found) == [1, 2] and found[2].xyz == [1.0, 0.0, 0.0] and len(found[2].mu) == 2 and len(found[2].basis) == 1
+    for r in found.values():
+        want = 0.45 * np.tanh(2 / 6) + 0.25 * np.exp(-r.spread) + 0.2 * np.exp(-9.0) + 0.035
+        assert np.isclose(r.staticness, want)
+    assert found[2].spread > 1 > found[1].spread
+    kept = landmarks.build_store(obs, views, points, landmarks.subspaces(desc, "landmark_id", "d", 1), min_static=0.4)
+    assert [r.landmark_id for r in kept.collect()] == [1]

@@ -236,19 +236,34 @@ def active_set(landmarks: DataFrame, sequence: str, now: Column, max_age: int, m
     return valid.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= most)
 
 
-def build_store(entries: DataFrame, views: DataFrame, min_obs: int = 1, min_static: float = 0.0) -> DataFrame:
-    """The landmark table: summaries of observations and views joined, scored and cut by staticness.
+def stored_summaries(landmarks: DataFrame, dim: int) -> DataFrame:
+    """(landmark_id, mu, eigvals, sigma_perp2, spread) of landmarks whose descriptors are summarised already.
 
-    entries: landmark_id, frame_id, obs_id, reproj_error. views: point3d_id, image_id, dir.
+    The mean distance to mu isn't kept beside them; spread is sqrt(sigma_perp2), as in landmark_staticness.
+    Landmarks without a finite mu of `dim` entries or a residual variance have no summary.
+    """
+    finite = (F.size("mu") == dim) & ~F.exists("mu", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = once(landmarks, "landmark_id").filter(finite & (F.col("sigma_perp2") >= 0) & ~F.isnan("sigma_perp2"))
+    return rows.select("landmark_id", "mu", "eigvals", "sigma_perp2", F.sqrt(F.col("sigma_perp2").cast("double")).alias("spread"))
+
+
+def build_store(entries: DataFrame, views: DataFrame, points: DataFrame, summaries: DataFrame, min_obs: int = 1, min_static: float = 0.0) -> DataFrame:
+    """The landmark table: summaries of observations, descriptors and views joined, scored and cut by staticness.
+
+    entries: landmark_id, frame_id, obs_id, reproj_error. views: point3d_id, image_id, dir. points: point3d_id, xyz.
+    summaries: landmark_id, spread and what else the table shall have of the descriptors (mu, basis, eigvals,
+    sigma_perp2), from `subspaces` or `stored_summaries`. Landmarks without a position or a summary are left out.
     """
     from waymark.functions import scores
 
     stats = observation_stats(entries).filter(F.col("n_obs") >= min_obs)
     seen = view_diversity(views).withColumnRenamed("point3d_id", "landmark_id")
     box = view_envelope(views).withColumnRenamed("point3d_id", "landmark_id")
-    joined = stats.join(seen, "landmark_id", "left").join(box, "landmark_id", "left")
-    diversity = F.coalesce(scores.view_diversity(F.col("mean_angle"), F.col("max_angle"), F.col("n_views")), F.lit(0.35))
-    static = scores.staticness(F.col("n_obs"), F.lit(0.0), F.coalesce("mean_error", F.lit(0.0)), diversity)
+    placed = once(points, "point3d_id").filter("xyz is not null").select(F.col("point3d_id").alias("landmark_id"), "xyz")
+    described = summaries.filter("spread is not null").drop("n_obs")
+    joined = stats.join(placed, "landmark_id").join(described, "landmark_id").join(seen, "landmark_id", "left").join(box, "landmark_id", "left")
+    diversity = scores.view_diversity(F.col("mean_angle"), F.col("max_angle"), F.coalesce("n_views", F.lit(0)))
+    static = scores.staticness(F.col("n_obs"), F.col("spread"), F.coalesce("mean_error", F.lit(0.0)), diversity)
     filled = joined.withColumns({"view_diversity": diversity, "staticness": static, "min_cos": F.coalesce("min_cos", F.lit(-1.0)), "max_cos": F.coalesce("max_cos", F.lit(1.0))})
     return filled.filter(F.col("staticness") >= min_static)
 

@@ -156,10 +156,15 @@ def ppca_score(spark, sf_dir):
 
 @query("landmark_store")
 def landmark_store(spark, sf_dir):
-    """The landmark table built from observations and tracks."""
-    seen = landmarks.track_views(table(spark, sf_dir, "points3d"), table(spark, sf_dir, "images"))
-    s = landmarks.build_store(table(spark, sf_dir, "observations"), seen, min_obs=2, min_static=0.2)
-    return s.select("landmark_id", "n_obs", "n_frames", F.round("staticness", 5).alias("staticness"), F.round("min_cos", 5).alias("min_cos"), F.round("max_cos", 5).alias("max_cos"))
+    """The landmark table built from observations, tracks and the summaries of the descriptors."""
+    points = table(spark, sf_dir, "points3d")
+    seen = landmarks.track_views(points, table(spark, sf_dir, "images"))
+    described = landmarks.stored_summaries(table(spark, sf_dir, "landmarks"), 64)
+    s = landmarks.build_store(table(spark, sf_dir, "observations"), seen, points, described, min_obs=2, min_static=0.2)
+    return s.select(
+        *("landmark_id", "xyz", "mu", "eigvals", "sigma_perp2", "n_obs", "n_frames"),
+        *(F.round(c, 5).alias(c) for c in ("spread", "staticness", "min_cos", "max_cos")),
+    )
 
 
 # --- retrieval -----------------------------------------------------------------
