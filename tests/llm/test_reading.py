@@ -61,3 +61,10 @@ def test_edges(spark):
     got = {r.doc_id: r.reading_level for r in reading.reading_levels(docs, few).collect()}
     assert set(got) == {1, 2, 6, 7} and all(1 <= g <= 4 for g in got.values())
     assert reading.reading_levels(docs.limit(0), few).count() == 0
+
+
+def test_folds_keep_every_source_whole():
+    sources = ["a"] * 50 + ["b"] * 30 + ["c"] * 8 + ["d"] * 6 + ["e"] * 4 + ["f"] * 2
+    folds = reading.Model._folds(sources)
+    assert all(len({f for f, s in zip(folds, sources) if s == name}) == 1 for name in "abcdef")
+    assert len(set(folds)) == 5 and len(set(reading.Model._folds(["a"] * 50))) == 5

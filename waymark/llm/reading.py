@@ -223,17 +223,15 @@ class Model:
 
     @staticmethod
     def _folds(sources: list[str]) -> np.ndarray:
-        """Whole sources together; the largest sources are dealt first, those beyond a fold's share are split."""
-        n = len(sources)
+        """Whole sources together, the largest dealt first; only where all documents have one source is that split."""
         names, where, counts = np.unique(np.array(sources), return_inverse=True, return_counts=True)
-        fold, load = np.zeros(n, np.int64), np.zeros(FOLDS)
+        if len(names) == 1:
+            return np.arange(len(sources)) * FOLDS // len(sources)
+        of, load = np.zeros(len(names), np.int64), np.zeros(FOLDS)
         for s in np.argsort(-counts, kind="stable"):
-            rows = np.flatnonzero(where == s)
-            for part in np.array_split(rows, max(1, -(-len(rows) * FOLDS // max(1, n) // 1) if len(rows) * FOLDS > n else 1)):
-                k = int(load.argmin())
-                fold[part] = k
-                load[k] += len(part)
-        return fold
+            of[s] = load.argmin()
+            load[of[s]] += counts[s]
+        return of[where]
 
     def grade(self, scores: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.cuts, scores, "right") + 1
@@ -306,7 +304,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def validation(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(source, n_labelled, accuracy, mean_abs_error) of predictions for sources or parts of sources left out."""
+    """(source, n_labelled, accuracy, mean_abs_error) of predictions for sources left out as a whole (parts of it, if there is only one)."""
     model = train(documents, labels)
     rows = model.by_source() if model else []
     return documents.sparkSession.createDataFrame(rows, "source string, n_labelled bigint, accuracy double, mean_abs_error double")
