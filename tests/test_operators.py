@@ -264,3 +264,10 @@ def test_store_scores_spread_and_needs_a_position(spark):
     assert found[2].spread > 1 > found[1].spread
     kept = landmarks.build_store(obs, views, points, landmarks.subspaces(desc, "landmark_id", "d", 1), min_static=0.4)
     assert [r.landmark_id for r in kept.collect()] == [1]
+
+
+def test_rounds_that_run_out_lose_no_edge(spark):
+    """All scores tie: each round yields one edge a query."""
+    edges = spark.createDataFrame([(q, a, b, 1.0) for q in (1, 2) for a in range(5) for b in range(5)], "q bigint, a bigint, b bigint, s double")
+    got = {tuple(r) for r in assign.greedy_rounds(edges, "q", "a", "b", "s", rounds=2).select("q", "a", "b").collect()}
+    assert got == {(q, i, i) for q in (1, 2) for i in range(5)}

@@ -16,7 +16,10 @@ from waymark.tables import cut
 
 
 def greedy_rounds(edges: DataFrame, query: str, left: str, right: str, score: str, rounds: int = 1000) -> DataFrame:
-    """The greedy one-to-one edges, by rounds of locally best edges. Null and NaN scores are no edges."""
+    """The greedy one-to-one edges, by rounds of locally best edges. Null and NaN scores are no edges.
+
+    What is left after `rounds` (long chains of ties) is finished by the sorted pass of `greedy`.
+    """
     order = (F.desc(score), left, right)
     rest = cut(edges.filter(F.col(score).isNotNull() & ~F.isnan(score)).select(query, left, right, score))
     chosen = None
@@ -26,8 +29,9 @@ def greedy_rounds(edges: DataFrame, query: str, left: str, right: str, score: st
         chosen = best if chosen is None else chosen.unionByName(best)
         rest = cut(rest.join(best.select(query, left), [query, left], "left_anti").join(best.select(query, right), [query, right], "left_anti"))
         if rest.isEmpty():
-            break
-    return chosen
+            return chosen
+    last = greedy(rest, query, left, right, score)
+    return last if chosen is None else chosen.unionByName(last)
 
 
 def greedy(edges: DataFrame, query: str, left: str, right: str, score: str) -> DataFrame:
