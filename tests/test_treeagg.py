@@ -58,3 +58,10 @@ def test_more_chunks_than_fan_in(spark):
 def test_empty(spark):
     assert treeagg.top_per_key(spark.createDataFrame([], OBS), spark.createDataFrame([], POINTS)).count() == 0
     assert treeagg.key_loads(spark.createDataFrame([], OBS), spark.createDataFrame([], POINTS)).count() == 0
+
+
+def test_chunks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(treeagg, "CHUNK_ROWS", 10)
+    assert [treeagg.chunks_for(spark.range(n)) for n in (0, 10, 95, 950)] == [1, 1, 10, 95]
+    rows = spark.createDataFrame([(i, 1 if i % 3 else 2, i % 7) for i in range(200)], "obs_id bigint, frame_id bigint, landmark_id bigint")
+    assert {tuple(r) for r in treeagg.modes(rows).collect()} == {(1, 1), (2, 0)}

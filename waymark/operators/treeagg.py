@@ -1,6 +1,6 @@
 """A few keys holding most records: multi-level tree aggregation.
 
-Rows go to chunks of a fixed size by a hash of the row, not of the key, so no
+Rows go to chunks of about CHUNK_ROWS rows by a hash of the row, not of the key, so no
 chunk is larger because a key is. Each chunk combines its rows locally into one
 state per key. Then the states are merged in rounds: FAN_IN chunks become one
 in each round, and a round is keyed by (key, chunk), so a hot key's states are
@@ -22,14 +22,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.tables import partitions
-
 FAN_IN = 8
+CHUNK_ROWS = 1_000_000
 
 
 def chunks_for(df: DataFrame) -> int:
-    """Chunks of the first level: one for each shuffle partition, whose size the session sets."""
-    return partitions(df.sparkSession)
+    """Chunks of the first level: so many that each has about CHUNK_ROWS rows, however many rows there are."""
+    return max(1, -(-df.count() // CHUNK_ROWS))
 
 
 def merge_rounds(states: DataFrame, keys: list[str], merge: dict[str, Column], chunks: int, fan_in: int = FAN_IN) -> DataFrame:
