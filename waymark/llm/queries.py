@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.llm import astime, bpe, mixing, reading, topn, vectors
-from waymark.tables import table
+from waymark.tables import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,14 @@ def p8_shares_corpus(spark, sf_dir):
     return _mix(spark, sf_dir, "corpus")[1]
 
 
+@query("p8_checks", "SELECT source, true AS within_cap, true AS sums_agree, true AS own_documents, true AS close FROM source_mix WHERE source IS NOT NULL")
+def p8_checks(spark, sf_dir):
+    """The caps and shares of p8_mix, checked against the tables; the SQL says what must come out."""
+    documents, mix = table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix")
+    chosen, told = mixing.mix_sources(documents, mix)
+    return mixing.checks(documents, mix, cut(chosen), told)
+
+
 def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")
 
