@@ -7,10 +7,11 @@ vectors and ascends, in all trees at the same depth, until the trees together
 hold `candidates` of them; those are compared by cosine.
 
 The number of trees grows with the collection, and no query descends deeper than
-the depth at which a pair of the least wanted cosine shares its prefix in some
-tree with probability `recall`. So where many vectors lie close together a query
-is compared with all that share the prefix, however many they are: pairs of a
-small angle share it nearly surely, and no budget cuts them off.
+the depth at which a pair of the least wanted cosine (as seen from the centre)
+shares its prefix in some tree with probability `recall`. So where many vectors
+lie close together a query is compared with all that share the prefix, however
+many they are: pairs of a small angle share it nearly surely, and no budget cuts
+them off.
 
 On a cluster the sorted arrays are cut into subtrees of at most `leaf` vectors.
 How many vectors share each of the first `counted` bits is counted beforehand
@@ -20,9 +21,10 @@ together have enough candidates, and so the subtrees to visit. Prefixes with
 more vectors than a subtree may hold are counted further, some bits deeper each
 time, and where vectors can't be told apart by any bit they are split into
 blocks that all get the query. A tree has at most about 2 x MOST_LEAVES
-subtrees: on larger collections a subtree may hold more, so the plan that goes
-to all tasks stays bounded. In a subtree the queries with the same range of the
-sorted array are compared with that range by one matrix product.
+subtrees, so the plan that goes to all tasks stays bounded: on larger collections
+a subtree holds more and is split into blocks too. In a block the queries with
+the same range of the sorted array are compared with that range by one matrix
+product.
 
 Equal vectors are one vector with several ids. Vectors travel as 16-bit
 numbers with a proven bound of the error, to subtrees of dense places (where that
@@ -52,7 +54,7 @@ from waymark.tables import cut, partitions
 
 BITS = 56
 QUERIES = 32_768  # queries sent to one copy of a subtree
-MOST_LEAVES = 1 << 15  # of a tree: on larger collections subtrees grow instead of the plan
+MOST_LEAVES = 1 << 15  # of a tree: on larger collections subtrees have more blocks instead
 MOST_PREFIXES = 1 << 16  # of a tree, counted at once below the first level
 MOST_TREES = 32  # on collections that would need more, queries stay at a smaller depth instead
 MOST_COUNTED = 16  # bits of the first counts, whatever the size of the collection
@@ -64,13 +66,14 @@ FEW_PAIRS = 50_000  # pairs to compute again that may be broadcast
 @dataclass(frozen=True)
 class Forest:
     trees: int = 6  # at least; more on larger collections
-    candidates: int = 32_768  # of all these trees together
+    candidates: int = 3_072  # of all these trees together, before a query stops ascending
+    visited: int = 8_192  # about as many vectors of a tree may have to be visited before trees are added
     dim: int = 64
     seed: int = 17
     leaf: int = 16_384  # vectors of a subtree
     counted: int = 12  # bits of the prefixes counted at first; more on larger collections
     near: float = 0.85  # cosine of the pairs to find where the call names none
-    recall: float = 0.9  # least probability that such a pair shares a visited prefix
+    recall: float = 0.95  # least probability that such a pair shares a visited prefix
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.dim, self.trees * BITS)).astype(np.float32)
@@ -83,13 +86,18 @@ class Forest:
         return BITS if same >= 1 else min(BITS, int(np.log(1 - (1 - self.recall) ** (1 / self.trees)) / np.log(same)))
 
     def grown(self, n: int, cosine: float) -> Forest:
-        """The forest for n vectors: so many trees that a query for pairs of this cosine needn't have more candidates a tree."""
-        enough = self.candidates // self.trees
-        depth = min(MOST_COUNTED, max(1, n // max(1, enough)).bit_length() - 1)
+        """The forest for n vectors: so many trees that a query for pairs of this cosine needn't visit many more than `visited` vectors of each."""
+        depth = min(MOST_COUNTED, max(1, n // max(1, self.visited)).bit_length() - 1)
         out = self
         while out.trees < MOST_TREES and out.deepest(cosine) < depth:
             out = replace(out, trees=out.trees + 1)
-        return replace(out, candidates=enough * out.trees if out.trees > self.trees else self.candidates, counted=max(self.counted, depth))
+        return replace(out, candidates=self.candidates // self.trees * out.trees, counted=max(self.counted, depth))
+
+
+def seen_from(centre: np.ndarray, cosine: float) -> float:
+    """The mean cosine, about the centre, of pairs of unit vectors that have this cosine about the origin."""
+    shift = min(float(np.dot(centre, centre)), 1 - 1e-6)  # the mean of x . centre
+    return (cosine - shift) / (1 - shift)
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +281,7 @@ def _plan(vectors: DataFrame, queries: DataFrame, forest: Forest, centre: np.nda
     for tree in trees:
         tree.sort(key=lambda x: x.start)
         starts.append(np.array([x.start for x in tree], np.int64))
-        blocks.append(np.maximum(1, -(-np.array([x.size for x in tree]) // most)))
+        blocks.append(np.maximum(1, -(-np.array([x.size for x in tree]) // forest.leaf)))
         copies.append(np.maximum(1, -(-np.array([x.asked for x in tree]) // QUERIES)))
         fine.append(np.array([x.depth > deepest + 1 for x in tree]))
     return Plan(centre, deepest, sums, starts, blocks, copies, fine)
@@ -462,8 +470,8 @@ def _few_ids(df: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
 def most_similar(queries: DataFrame, query_id: str, query_vector: str, base: DataFrame, base_id: str, base_vector: str, k: int = 10, min_cosine: float | None = None, forest: Forest = Forest()) -> DataFrame:
     """(query_id, base_id, cosine): the k base vectors of highest cosine of every query, if at least min_cosine."""
     asked, there = _vectors(queries, query_vector), _vectors(base, base_vector)
-    cosine = forest.near if min_cosine is None else min_cosine
     centre, n = _centre(there, forest.dim)
+    cosine = seen_from(centre, forest.near if min_cosine is None else min_cosine)
     forest = forest.grown(n, cosine)
     plan = _plan(there, asked, forest, centre, cosine)
     ddl = "tree int, leaf int, block int, copy int, asking boolean, blob binary"
