@@ -21,8 +21,8 @@ def brute(left, right):
     return out
 
 
-@pytest.mark.parametrize("span,partitions", [(400, "4"), (30, "7"), (4000, "13"), (1, "5")])
-def test_against_brute_force(spark, span, partitions):
+@pytest.mark.parametrize("span,partitions,batch", [(400, "4", "10000"), (30, "7", "10"), (4000, "13", "3"), (1, "5", "10000"), (400, "2", "1"), (60, "1", "7")])
+def test_against_brute_force(spark, span, partitions, batch):
     rnd = random.Random(span)
     entity = lambda: rnd.choice([1, 1, 1, 2, 3, None])
     left = [(f"f{i}", entity(), rnd.choice([None, *[rnd.randint(0, span)] * 9])) for i in range(300)]
@@ -30,10 +30,12 @@ def test_against_brute_force(spark, span, partitions):
     right = [(i, entity(), rnd.choice([None, *[rnd.randint(0, span)] * 9]), rnd.choice(["depth", "pose", "other", None])) for i in range(500)]
     right += right[:60]
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         rows = [tuple(r) for r in nearest_in_time(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), TOL).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(rows) == len(set(rows)) and set(rows) == brute(left, right)
 
 
