@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from waymark.catalog import query
 from waymark.operators import orphans, rejects, treeagg
 from waymark.tables import table
@@ -121,10 +119,9 @@ SELECT ref_field, month, opened, closed, (sum(opened - closed) OVER (PARTITION B
 
 @query("p4_snapshots", _REFS.rstrip() + _SNAPSHOTS)
 def p4_snapshots(spark, sf_dir):
-    """Open orphans by month; the state is kept over increments of a quarter each."""
-    refs, known = orphans.model_events(*(table(spark, sf_dir, n) for n in ("points3d", "images", "cameras")))
-    edges = [int(datetime(2024, m, 1, tzinfo=timezone.utc).timestamp()) * 1_000_000 for m in (4, 7, 10)]
-    return orphans.snapshots(orphans.by_increments(orphans.in_periods(refs, known, edges)))
+    """Open orphans by month: an increment and a snapshot for each."""
+    state = orphans.model_state(*(table(spark, sf_dir, n) for n in ("points3d", "images", "cameras")), months=1, count=True)
+    return orphans.snapshots(state)
 
 
 @query(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,21 +40,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def shared(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`; where that is unset, on one machine only, a local one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        where = os.path.join(tempfile.gettempdir(), f"waymark-checkpoint-{os.getuid()}")
+    return where
+
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only
-    where that is unset (tests on one machine) a local folder is used.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            where = os.path.join(tempfile.gettempdir(), f"waymark-checkpoint-{os.getuid()}")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, for tables that are written there and read again."""
+    return f"{shared(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
