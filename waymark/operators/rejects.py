@@ -5,7 +5,10 @@ buffer. A mask of the quotes and its running parity (restarted at each record)
 tell which commas and line ends lie inside a quoted field; the remaining commas
 and the record ends delimit the fields. Everything afterwards is a comparison
 of whole columns: field counts, patterns, ranges. No record is walked through
-by Python.
+by Python. Raw files, whose quoted fields may hold line ends, are cut into records
+first (`read_records`): the parity of the quotes before each line end tells whether
+it ends a record, a prefix sum of the splits' quotes gives the parity at the start
+of every split, and records that cross splits are put together from their pieces.
 
 Defined results
 * null, blank and `#...` bodies (after leading blanks) are no records: they come out nowhere.
@@ -13,6 +16,7 @@ Defined results
 * an unknown or null rec_type has no layout, so such a record fails with `column_count`.
 * repeated deliveries of a record (same record_id) come out once, with the earliest loaded_at.
 * an empty table gives empty results; further columns of the input are ignored.
+* in raw files a quote that is never closed runs on to the next quote; quotes of comment lines count like any others.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark.tables import cut
+
 # COLMAP's camera models and their numbers of parameters.
 CAMERA_MODELS = {
     "SIMPLE_PINHOLE": 3,
@@ -141,8 +147,11 @@ def integers(texts: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarr
 def decimals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and whether each text is a decimal that is finite as a double."""
     good = _matches(texts, DECIMAL)
-    kept = pc.if_else(pa.array(good), pc.utf8_trim(texts, " "), "0")
-    values = np.array(kept.to_pylist() or [], dtype=np.str_).astype(np.float64) if len(kept) else np.zeros(0)
+    kept = pc.if_else(pa.array(good), pc.replace_substring_regex(pc.utf8_trim(texts, " "), r"^\+", ""), "0")
+    try:
+        values = kept.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # some number is beyond what a double holds
+        values = np.array([float(t) for t in kept.to_pylist()], np.float64)
     return values, good & np.isfinite(values)
 
 
@@ -292,3 +301,85 @@ def loaded_cameras(raw: DataFrame) -> DataFrame:
 
 def loaded_points(raw: DataFrame) -> DataFrame:
     return _loaded(raw, "point3d", [F.col("object_id").alias("point3d_id"), "xyz", "rgb", "point_error", "image_ids", "point2d_idxs"])
+
+
+_PIECES = "file bigint, block bigint, seq bigint, begins boolean, ends boolean, body string"
+
+
+def _record_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one split after another, in order: the records in them, and the pieces of those that cross their edges."""
+    at, seq, odd, begins, open_ = None, 0, False, True, []  # split, pieces so far, within quotes, whether the piece begins a record, its lines
+
+    def piece(ends: bool) -> pa.RecordBatch:
+        cols = {"file": [at[0]], "block": [at[1]], "seq": [seq], "begins": [begins], "ends": [ends], "body": ["\n".join(open_)]}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(cols.items(), (pa.int64(),) * 3 + (pa.bool_(),) * 2 + (pa.string(),))})
+
+    def split(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nonlocal seq, odd, begins, open_
+        lines = rows.column("value").cast(pa.large_string())
+        n = len(lines)
+        offsets = np.frombuffer(lines.buffers()[1], np.int64, count=n + 1 + lines.offset)[lines.offset :]
+        raw = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        quotes = np.concatenate([[0], np.cumsum(raw == 34)])
+        after = (quotes[offsets[1:] - offsets[0]] + odd) % 2  # parity of the quotes before each line end
+        ends = np.flatnonzero(after == 0)
+        odd = bool(after[-1])
+        if not len(ends):
+            open_ += lines.to_pylist()
+            return
+        open_ += lines.slice(0, ends[0] + 1).to_pylist()
+        yield piece(True)
+        seq, begins, open_ = seq + 1, True, []
+        if len(ends) > 1:  # records that begin and end here: one line each, or several joined
+            starts, stops = ends[:-1] + 1, ends[1:] + 1
+            sizes = stops - starts
+            body = lines.take(pa.array(starts))
+            many = np.flatnonzero(sizes > 1)
+            if len(many):
+                texts = body.to_pylist()
+                for i in many:
+                    texts[i] = "\n".join(lines.slice(starts[i], sizes[i]).to_pylist())
+                body = pa.array(texts)
+            m = len(starts)
+            yes = pa.array(np.ones(m, bool))
+            yield pa.RecordBatch.from_pydict({"file": pa.array(np.full(m, at[0])), "block": pa.array(np.full(m, at[1])), "seq": pa.array(seq + np.arange(m)), "begins": yes, "ends": yes, "body": body.cast(pa.string())})
+            seq += m
+        open_ = lines.slice(ends[-1] + 1).to_pylist()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, block = b.column("file").to_numpy(), b.column("block").to_numpy()
+        cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, b.num_rows)):
+            here = (int(file[lo]), int(block[lo]))
+            if here != at:
+                if open_:
+                    yield piece(False)
+                at, seq, open_ = here, 0, []
+                odd = bool(b.column("inside")[int(lo)].as_py())
+                begins = not odd
+            yield from split(b.slice(lo, hi - lo))
+    if open_:
+        yield piece(False)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, body): the records of delimited text files below path; record_id is a hash of the record's place."""
+    where = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.option("lineSep", "\n").text(path).select(*where, "value")
+    quotes = lines.groupBy("file", "block").agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("q"))
+    before = F.sum("q").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    inside = quotes.withColumn("inside", before % 2 == 1).filter("inside").select("file", "block", "inside")  # at most a row of 17 bytes for each split
+    pieces = cut(lines.join(F.broadcast(inside), ["file", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))).mapInArrow(_record_ends, _PIECES))
+    edge = pieces.filter("not (begins and ends)")  # at most two of each split
+    number = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("file").orderBy("block", "seq"))
+    whole = edge.withColumn("number", number).groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "body"))).alias("parts"))
+    joined = whole.select("file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["seq"].alias("seq"), F.array_join("parts.body", "\n").alias("body"))
+    rows = pieces.filter("begins and ends").select("file", "block", "seq", "body").unionByName(joined)
+    return rows.select(F.xxhash64("file", "block", "seq").alias("record_id"), "body")
+
+
+def load_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The records of raw files of one kind: with reason null the loaded ones, else the rejected."""
+    return parse_records(read_records(spark, path).withColumn("rec_type", F.lit(kind)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from waymark.catalog import query
 from waymark.operators import orphans, rejects, treeagg
-from waymark.tables import table
+from waymark.tables import scratch, table
 
 
 _INT = "(regexp_full_match({0}, ' *-?[0-9]+ *') AND coalesce(TRY_CAST(trim({0}, ' ') AS HUGEINT) BETWEEN {1} AND {2}, false))"
@@ -74,6 +76,24 @@ def p3_points(spark, sf_dir):
     return rejects.loaded_points(table(spark, sf_dir, "raw_records"))
 
 
+@query(
+    "p3_files",
+    _RAW
+    + "SELECT rec_type, coalesce(reason, 'loaded') AS outcome, count(*) AS n FROM told WHERE coalesce(reason, '') <> 'quoting' AND rec_type IN ('camera', 'point3d') GROUP BY 1, 2",
+)
+def p3_files(spark, sf_dir):
+    """The well-quoted records written as raw text, quoted line ends and all, and loaded again from the files."""
+    raw = table(spark, sf_dir, "raw_records").dropDuplicates(["record_id"])
+    bad = rejects.failing(raw).filter("reason = 'quoting'")
+    told = []
+    for kind in ("camera", "point3d"):
+        at = scratch(spark, "raw-records")
+        raw.filter((F.col("rec_type") == kind) & F.col("body").isNotNull()).join(bad, "record_id", "left_anti").select("body").write.text(at)
+        told.append(rejects.load_files(spark, at, kind))
+    rows = told[0].unionByName(told[1])
+    return rows.groupBy("rec_type", F.coalesce("reason", F.lit("loaded")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def _state(spark, sf_dir):
     return orphans.model_state(*(table(spark, sf_dir, n) for n in ("points3d", "images", "cameras")))
 
