@@ -177,6 +177,8 @@ def test_record_ends_across_splits(spark, tmp_path, split, batch):
         bodies = []
         for i in range(120):
             parts = [rnd.choice(["", "a", 'q""q', "line\nend", "x" * rnd.choice([1, 5, 300]), "\n\n", "c,d"]) for _ in range(4)]
+            if rnd.random() < 0.05:
+                bodies.append(rnd.choice(['# say "so', '  # 1 "" 2', "#", '#"""']))
             bodies.append(",".join([f"{f}-{i}"] + [f'"{p}"' if any(c in p for c in ',\n"') or rnd.random() < 0.3 else p for p in parts]))
         (tmp_path / f"f{f}.txt").write_text("\n".join(bodies) + ("\n" if f else ""))
         want += bodies

@@ -16,7 +16,7 @@ Defined results
 * an unknown or null rec_type has no layout, so such a record fails with `column_count`.
 * repeated deliveries of a record (same record_id) come out once, with the earliest loaded_at.
 * an empty table gives empty results; further columns of the input are ignored.
-* in raw files a quote that is never closed runs on to the next quote; quotes of comment lines count like any others.
+* in raw files a quote that is never closed runs on to the next quote or to a comment line with an odd number of quotes.
 """
 
 from __future__ import annotations
@@ -303,6 +303,38 @@ def loaded_points(raw: DataFrame) -> DataFrame:
     return _loaded(raw, "point3d", [F.col("object_id").alias("point3d_id"), "xyz", "rgb", "point_error", "image_ids", "point2d_idxs"])
 
 
+def _quotes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(running number of quotes after each line, the last line up to each that surely ends outside quotes, -1 before).
+
+    A comment with an odd number of quotes is such a line: as a comment it stays outside, within quotes it closes them.
+    """
+    n = len(lines)
+    offsets = np.frombuffer(lines.buffers()[1], np.int64, count=n + 1 + lines.offset)[lines.offset :]
+    raw = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    total = np.concatenate([[0], np.cumsum(raw == 34)])[offsets - offsets[0]]
+    comment = pc.match_substring_regex(lines, r"^\s*#").to_numpy(zero_copy_only=False).astype(bool)
+    reset = comment & (np.diff(total) % 2 == 1)
+    return total[1:], np.maximum.accumulate(np.where(reset, np.arange(n), -1))
+
+
+def _runs(b: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Runs of rows of one split."""
+    file, block = b.column("file").to_numpy(), b.column("block").to_numpy()
+    cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+    return [(int(a), int(z)) for a, z in zip(np.append(0, cuts), np.append(cuts, b.num_rows))]
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run of lines: whether its end doesn't hang on its start, and the quotes that count for its end."""
+    for b in batches:
+        if b.num_rows:
+            rows = []
+            for a, z in _runs(b):
+                total, last = _quotes(b.column("value").slice(a, z - a).cast(pa.large_string()))
+                rows.append((b.column("file")[a].as_py(), b.column("block")[a].as_py(), b.column("n")[a].as_py(), int(last[-1] >= 0), int(total[-1] - (total[last[-1]] if last[-1] >= 0 else 0)) % 2))
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("file", "block", "n", "reset", "q"), zip(*rows))})
+
+
 _PIECES = "file bigint, block bigint, seq bigint, begins boolean, ends boolean, body string"
 
 
@@ -317,11 +349,8 @@ def _record_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def split(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         nonlocal seq, odd, begins, open_
         lines = rows.column("value").cast(pa.large_string())
-        n = len(lines)
-        offsets = np.frombuffer(lines.buffers()[1], np.int64, count=n + 1 + lines.offset)[lines.offset :]
-        raw = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        quotes = np.concatenate([[0], np.cumsum(raw == 34)])
-        after = (quotes[offsets[1:] - offsets[0]] + odd) % 2  # parity of the quotes before each line end
+        total, last = _quotes(lines)
+        after = np.where(last < 0, total + odd, total - total[np.maximum(last, 0)]) % 2  # parity of the quotes before each line end
         ends = np.flatnonzero(after == 0)
         odd = bool(after[-1])
         if not len(ends):
@@ -349,15 +378,13 @@ def _record_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        file, block = b.column("file").to_numpy(), b.column("block").to_numpy()
-        cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
-        for lo, hi in zip(np.append(0, cuts), np.append(cuts, b.num_rows)):
-            here = (int(file[lo]), int(block[lo]))
+        for lo, hi in _runs(b):
+            here = (b.column("file")[lo].as_py(), b.column("block")[lo].as_py())
             if here != at:
                 if open_:
                     yield piece(False)
                 at, seq, open_ = here, 0, []
-                odd = bool(b.column("inside")[int(lo)].as_py())
+                odd = bool(b.column("inside")[lo].as_py())
                 begins = not odd
             yield from split(b.slice(lo, hi - lo))
     if open_:
@@ -368,9 +395,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, body): the records of delimited text files below path; record_id is a hash of the record's place."""
     where = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     lines = spark.read.option("lineSep", "\n").text(path).select(*where, "value")
-    quotes = lines.groupBy("file", "block").agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("q"))
-    before = F.sum("q").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    inside = quotes.withColumn("inside", before % 2 == 1).filter("inside").select("file", "block", "inside")  # at most a row of 17 bytes for each split
+    runs = lines.withColumn("n", F.monotonically_increasing_id()).mapInArrow(_parities, "file bigint, block bigint, n bigint, reset bigint, q bigint")
+    order = Window.partitionBy("file").orderBy("block", "n")
+    after = runs.withColumn("resets", F.sum("reset").over(order)).withColumn("odd", F.sum("q").over(Window.partitionBy("file", "resets").orderBy("block", "n")) % 2)
+    before = after.select("file", "block", F.lag("odd").over(order).alias("odd"), F.coalesce(F.lag("block").over(order) != F.col("block"), F.lit(False)).alias("first"))
+    inside = before.filter("first and odd = 1").select("file", "block", F.lit(True).alias("inside"))  # at most a row of 17 bytes for each split
     pieces = cut(lines.join(F.broadcast(inside), ["file", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))).mapInArrow(_record_ends, _PIECES))
     edge = pieces.filter("not (begins and ends)")  # at most two of each split
     number = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("file").orderBy("block", "seq"))
