@@ -39,16 +39,29 @@ def test_cut_points():
 def test_cleaning():
     assert reading.clean("GroÃŸe H&auml;user <b>x</b>") == "große häuser x"
     assert reading.clean("a­b\r\nc\rd") == "ab\nc\nd"
+    assert reading.clean('one <span class="' + "x" * 500 + '">two</span> a < b > c') == "one two a < b > c"
+
+
+def test_clauses_and_openers():
+    tokens = reading.Tokens()
+    h, opens, doc, fixed = reading.read(["We saw the wall, which was old, because rain fell. It stood.", "plain words only"], tokens)
+    words = ["we", "saw", "the", "wall", "which", "was", "old", "because", "rain", "fell", "it", "stood", "plain", "words", "only"]
+    assert [w for w, o in zip(words, opens) if o] == ["which", "because"]
+    at = reading.SPREAD + 3 + reading.SPREAD  # clause lengths come after those of words and sentences
+    assert fixed[0, at] == 12 / 4 and fixed[1, at] == 3 and fixed[0, at + reading.SPREAD] == 2 and fixed[1, at + reading.SPREAD] == 1
+    known, share = reading.openers(np.repeat(h, 10), np.repeat(opens, 10))
+    rate = dict(zip(known.tolist(), share.tolist()))
+    assert rate[int(h[4])] > 0.8 > 0.1 > rate[int(h[0])]
 
 
 def test_features_do_not_depend_on_the_batch():
     texts = ["The cat sat. It ran, and hid!\nYes", "", "12 ... 34", "Ein Satz, der länger ist; noch einer.", "word " * 3000, "日本語 text. one two three four five words."]
     tokens = reading.Tokens()
-    h, doc, fixed = reading.read(texts, tokens)
+    h, opens, doc, fixed = reading.read(texts, tokens)
     assert np.isfinite(fixed).all()
     for i, t in enumerate(texts):
-        h1, _, f1 = reading.read([t], tokens)
-        assert np.array_equal(h[doc == i], h1) and np.allclose(fixed[i], f1[0])
+        h1, o1, _, f1 = reading.read([t], tokens)
+        assert np.array_equal(h[doc == i], h1) and np.array_equal(opens[doc == i], o1) and np.allclose(fixed[i], f1[0])
 
 
 def test_edges(spark):
@@ -63,6 +76,14 @@ def test_edges(spark):
     assert reading.reading_levels(docs.limit(0), few).count() == 0
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(reading, "MAX_TOTAL", 3000)
+    text = "The quick sensors, which measure the walls, stand still. " * 10
+    docs = spark.createDataFrame([(i, text, "ab"[i % 2], "note", len(text)) for i in range(40)], "doc_id bigint, text string, source string, doc_kind string, n_chars int")
+    labels = spark.createDataFrame([(i, "r", 1 + i % 4) for i in range(40)], "doc_id bigint, reader string, reading_level int")
+    assert len(reading.train(docs, labels).grades) == 3000 // len(text)
+
+
 def test_folds_keep_every_source_whole():
     sources = ["a"] * 50 + ["b"] * 30 + ["c"] * 8 + ["d"] * 6 + ["e"] * 4 + ["f"] * 2
     folds = reading.Model._folds(sources)
