@@ -53,11 +53,28 @@ def test_models(spark, tmp_path, write):
     assert [r.image_id for r in colmap.map_frames(i, c, names=names).collect()] == [5]
 
 
+def test_images_text_across_splits(spark, tmp_path):
+    """Pairs of lines, some of them empty, in many splits."""
+    rows = [(i, [1.0, 0.0, 0.0, 0.0], [float(i), 0.0, 0.0], 1, f"n {i}.jpg", *([[float(i)] * k, [2.0] * k, [i] * k] if (k := i % 4) else [[], [], []])) for i in range(1, 200)]
+    lines = ["# head", "# tail"]
+    for i, q, t, c, n, xs, ys, ids in rows:
+        lines += [" ".join(map(str, [i, *q, *t, c, n])), " ".join(f"{x} {y} {p}" for x, y, p in zip(xs, ys, ids))] + (["# between"] if i % 9 == 0 else [])
+    (tmp_path / "images.txt").write_text("\r\n".join(lines) + "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = sorted(map(tuple, colmap.images_text(spark, str(tmp_path / "images.txt")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == rows
+
+
 def test_incomplete_models(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         colmap.load_model(spark, str(tmp_path))
     with pytest.raises(EOFError):
-        colmap.decode_points(struct.pack("<Q", 2))
+        list(colmap.decode_points(struct.pack("<Q", 2)))
 
 
 def lines(spark, *texts):

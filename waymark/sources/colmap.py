@@ -1,21 +1,25 @@
 """COLMAP models as DataFrames: text and binary, cameras, images and points.
 
-Text is read by Spark; images.txt has two lines a record, so that file is split
-inside one value per file (models are exported as one file). Binary files are
-decoded one file per task.
+Text is read by Spark, split by split; images.txt has two lines a record, which
+are paired by their number in the file (a prefix sum over the splits' numbers of
+lines). Binary files are decoded one file per task, some thousand rows at a time.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark.sources import lists
+from waymark.tables import cut, exists
+
 CAMERAS = "camera_id bigint, camera_model string, width bigint, height bigint, params array<double>"
 IMAGES = "image_id bigint, qvec array<double>, tvec array<double>, camera_id bigint, image_name string, xs array<double>, ys array<double>, point3d_ids array<bigint>"
 POINTS = "point3d_id bigint, xyz array<double>, rgb array<int>, point_error double, image_ids array<bigint>, point2d_idxs array<int>"
@@ -66,11 +70,13 @@ def points_text(spark: SparkSession, path: str) -> DataFrame:
 
 def images_text(spark: SparkSession, path: str) -> DataFrame:
     """Records of two lines; the second may be empty (an image without keypoints)."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit("#")))
-    both = whole.select(lines.alias("l")).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("l") - 1) / 2).cast("int"))), lambda k: F.struct(F.get("l", 2 * k).alias("a"), F.get("l", 2 * k + 1).alias("b")))).alias("n", "p"))
-    a, b = F.split(F.trim(F.col("p.a")), r"\s+"), F.split(F.trim(F.coalesce("p.b", F.lit(""))), r"\s+")
-    rows = both.filter("trim(p.a) <> ''").select(a.alias("a"), F.when(F.trim(F.coalesce("p.b", F.lit(""))) == "", F.array().cast("array<string>")).otherwise(b).alias("b"))
+    lines = cut(lists.numbered(spark, path, skip=r"^\s*#"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))  # a row for each split
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    placed = lines.join(F.broadcast(sizes.select("file", "block", before.alias("before"))), ["file", "block"]).withColumn("i", F.col("before") + F.col("k"))
+    line = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.trim("line")))
+    both = placed.groupBy("file", F.expr("i div 2").alias("pair")).agg(line(0).alias("first"), F.coalesce(line(1), F.lit("")).alias("second")).filter("first <> ''")
+    rows = both.select(F.split("first", r"\s+").alias("a"), F.when(F.col("second") == "", F.array().cast("array<string>")).otherwise(F.split("second", r"\s+")).alias("b"))
     each = lambda k: F.filter("b", lambda x, i: i % 3 == k)
     c = F.col("a")
     return rows.select(
@@ -105,41 +111,66 @@ class _Reader:
         return out.decode("utf-8")
 
 
-def decode_cameras(data: bytes) -> list[tuple]:
+def decode_cameras(data: bytes) -> Iterator[tuple]:
     r = _Reader(data)
-    rows = []
     for _ in range(r.take("Q")[0]):
         number, model, width, height = r.take("iiQQ")
         name, n = MODEL_NUMBERS[model]
-        rows.append((number, name, width, height, list(r.take("d" * n))))
-    return rows
+        yield (number, name, width, height, list(r.take("d" * n)))
 
 
-def decode_images(data: bytes) -> list[tuple]:
+def decode_images(data: bytes) -> Iterator[tuple]:
     r = _Reader(data)
-    rows = []
     for _ in range(r.take("Q")[0]):
         number, *pose, camera = r.take("i7di")
         name = r.text()
         n = r.take("Q")[0]
         flat = r.take("ddq" * n)
-        rows.append((number, pose[:4], pose[4:], camera, name, list(flat[0::3]), list(flat[1::3]), list(flat[2::3])))
-    return rows
+        yield (number, pose[:4], pose[4:], camera, name, list(flat[0::3]), list(flat[1::3]), list(flat[2::3]))
 
 
-def decode_points(data: bytes) -> list[tuple]:
+def decode_points(data: bytes) -> Iterator[tuple]:
     r = _Reader(data)
-    rows = []
     for _ in range(r.take("Q")[0]):
         number, x, y, z, red, green, blue, error = r.take("Q3d3Bd")
         n = r.take("Q")[0]
         flat = r.take("ii" * n)
-        rows.append((number, [x, y, z], [red, green, blue], error, list(flat[0::2]), list(flat[1::2])))
-    return rows
+        yield (number, [x, y, z], [red, green, blue], error, list(flat[0::2]), list(flat[1::2]))
 
 
-def _binary(spark: SparkSession, path: str, decode, ddl: str) -> DataFrame:
-    schema = spark.createDataFrame([], ddl).schema
+def encode_cameras(rows: list[tuple]) -> bytes:
+    numbers = {name: k for k, (name, _) in MODEL_NUMBERS.items()}
+    return struct.pack("<Q", len(rows)) + b"".join(struct.pack(f"<iiQQ{len(p)}d", i, numbers[m], w, h, *p) for i, m, w, h, p in rows)
+
+
+def encode_images(rows: list[tuple]) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for i, q, t, camera, name, xs, ys, ids in rows:
+        out.append(struct.pack("<i7di", i, *q, *t, camera) + name.encode() + b"\0" + struct.pack("<Q", len(xs)))
+        out += [struct.pack("<ddq", *k) for k in zip(xs, ys, ids)]
+    return b"".join(out)
+
+
+def encode_points(rows: list[tuple]) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for i, xyz, rgb, error, images, places in rows:
+        out.append(struct.pack("<Q3d3BdQ", i, *xyz, *rgb, error, len(images)) + b"".join(struct.pack("<ii", *k) for k in zip(images, places)))
+    return b"".join(out)
+
+
+def encoded(rows: DataFrame, encode) -> DataFrame:
+    """(content): a binary model file for every batch of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"content": pa.array([encode(list(zip(*(c.to_pylist() for c in b.columns))))], pa.binary())})
+
+    return rows.mapInArrow(run, "content binary")
+
+
+def decoded(files: DataFrame, decode, ddl: str) -> DataFrame:
+    """The rows of binary model files (content)."""
+    schema = files.sparkSession.createDataFrame([], ddl).schema
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +180,14 @@ def _binary(spark: SparkSession, path: str, decode, ddl: str) -> DataFrame:
         for b in batches:
             for data in b.column("content").to_pylist():
                 rows = decode(data)
-                for a in range(0, len(rows), 4096):
-                    cols = list(zip(*rows[a : a + 4096]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(cols, names)], names=names)
+                while some := list(itertools.islice(rows, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(zip(*some), names)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return files.select("content").mapInArrow(run, schema)
+
+
+def _binary(spark: SparkSession, path: str, decode, ddl: str) -> DataFrame:
+    return decoded(spark.read.format("binaryFile").load(path), decode, ddl)
 
 
 def cameras_binary(spark, path):
@@ -172,15 +206,13 @@ def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     """(cameras, images, points): the binary files if all three are there, else the text files."""
     for end, readers in ((".bin", (cameras_binary, images_binary, points_binary)), (".txt", (cameras_text, images_text, points_text))):
         paths = [os.path.join(folder, n + end) for n in ("cameras", "images", "points3D")]
-        if all(map(os.path.exists, paths)):
+        if all(exists(spark, p) for p in paths):
             return tuple(f(spark, p) for f, p in zip(readers, paths))
     raise FileNotFoundError(f"no complete model in {folder}")
 
 
 def map_frames(images: DataFrame, cameras: DataFrame, prefixes: list[str] | None = None, names: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Map frames in order of image id: those with a listed prefix or name; frame_seq is the place in that order."""
-    from pyspark.sql import Window
-
     from waymark.functions import pose
 
     rows = images

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.spatial import nearest_time, stem, strided
 from waymark.sources import lists
+from waymark.tables import exists, is_folder, put, small_text
 
 # Fx, fy, cx, cy of the three published presets.
 PRESETS = {"fr1": (517.3, 516.5, 318.6, 255.3), "fr2": (520.9, 521.0, 325.1, 249.7), "fr3": (535.4, 539.2, 320.1, 247.6)}
@@ -23,7 +24,7 @@ DEPTH_ENDS = (".npy", ".png", ".tif", ".tiff")
 
 def listing(spark: SparkSession, folder: str, ends: tuple[str, ...] = ()) -> DataFrame:
     """(path, name) of the files of a folder; contents aren't read."""
-    if not os.path.isdir(folder) and "://" not in folder:
+    if not is_folder(spark, folder):
         return spark.createDataFrame([], "path string, name string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     rows = files.select("path", stem(F.col("path")).alias("name"))
@@ -45,7 +46,7 @@ def first_by_end(rows: DataFrame, ends: tuple[str, ...]) -> DataFrame:
 
 def split_frames(spark: SparkSession, folder: str, stride: int = 1, most: int | None = None, start: int = 0, numeric: bool = False) -> DataFrame:
     """Frames of one split folder (images or rgb or color, depth, poses or pose): sorted, strided, then cut."""
-    pick = lambda *names: next((os.path.join(folder, n) for n in names if os.path.isdir(os.path.join(folder, n))), os.path.join(folder, names[0]))
+    pick = lambda *names: next((os.path.join(folder, n) for n in names if is_folder(spark, os.path.join(folder, n))), os.path.join(folder, names[0]))
     images = first_by_end(listing(spark, pick("images", "rgb", "color"), (".jpg", ".png", ".jpeg")), (".jpg", ".png", ".jpeg"))
     if not images.take(1):
         images = listing(spark, pick("poses", "pose"), (".txt",)).select("name", F.lit(None).cast("string").alias("path"))
@@ -58,7 +59,7 @@ def split_frames(spark: SparkSession, folder: str, stride: int = 1, most: int |
     depth = first_by_end(listing(spark, pick("depth"), DEPTH_ENDS), DEPTH_ENDS).withColumnRenamed("path", "depth_path")
     where = pick("poses", "pose")
     poses = spark.createDataFrame([], "name string, T_wc array<double>")
-    if os.path.isdir(where):
+    if is_folder(spark, where):
         poses = lists.matrices(lists.read_whole(spark, where)).select(stem(F.col("file")).alias("name"), F.col("m").alias("T_wc"))
     return chosen.withColumnRenamed("path", "image_path").join(depth, "name", "left").join(poses, "name", "left").select(F.col("name").alias("frame_id"), "seq", "image_path", "depth_path", "T_wc")
 
@@ -67,13 +68,13 @@ def scannet_frames(spark: SparkSession, scene: str, start: int = 0, stride: int
     """Frames of a scene in numeric order (literal: in the order of their names); intrinsics from the colour matrix."""
     frames = split_frames(spark, scene, stride, most, start, numeric=not literal)
     path = os.path.join(scene, "intrinsic", "intrinsic_color.txt")
-    intr = lists.intrinsics_matrix(lists.read_whole(spark, path)).select("intr") if os.path.exists(path) else spark.createDataFrame([(None,)], "intr struct<fx:double,fy:double,cx:double,cy:double>")
+    intr = lists.intrinsics_matrix(lists.read_whole(spark, path)).select("intr") if exists(spark, path) else spark.createDataFrame([(None,)], "intr struct<fx:double,fy:double,cx:double,cy:double>")
     return frames.crossJoin(F.broadcast(intr.limit(1)))  # a single row
 
 
 def tum_frames(spark: SparkSession, root: str, preset: str = "fr1", max_assoc: float = 0.02, max_pose: float = 0.05, stride: int = 1, most: int | None = None) -> DataFrame:
     """Frames of a sequence: each image with the nearest depth image (needed) and the nearest pose (if any), by time."""
-    micro = lambda df: df.withColumn("t", F.round(F.col("ts") * 1_000_000).cast("bigint")).withColumn("id", F.row_number().over(Window.orderBy("ts")) - 1)
+    micro = lambda df: df.withColumn("t", F.round(F.col("ts") * 1_000_000).cast("bigint")).withColumn("id", F.row_number().over(Window.orderBy("ts", *([] if "path" not in df.columns else ["path"]))) - 1)
     read = lambda n: lists.read_lines(spark, os.path.join(root, n))
     rgb, depth, gt = micro(lists.timed_paths(read("rgb.txt"))), micro(lists.timed_paths(read("depth.txt"))), micro(lists.timed_poses(read("groundtruth.txt")))
     d = nearest_time(rgb, depth.withColumnRenamed("id", "did"), "id", "did", round(max_assoc * 1e6)).select("id", "did")
@@ -92,8 +93,7 @@ def manifest_frames(spark: SparkSession, path: str, stride: int = 1, most: int |
         rows = rows.select(*[F.when(F.trim(F.col(c)) != "", F.col(c)).alias(c) for c in rows.columns])
         rows = rows.withColumn("__o", F.monotonically_increasing_id())
     else:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        data = json.loads(small_text(spark, path))
         frames = data["frames"] if isinstance(data, dict) else data
         names = ("image", "depth", "pose", "fx", "fy", "cx", "cy", "width", "height")
         rows = spark.createDataFrame([(i, *[None if r.get(n) is None else str(r[n]) for n in names]) for i, r in enumerate(frames)], "__o bigint, " + ", ".join(f"{n} string" for n in names))
@@ -125,14 +125,110 @@ def decoded_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_depth(data: bytes, name: str) -> np.ndarray:
-    """Depth in metres of an .npy or a 16-bit grey PNG file (millimetres)."""
+    """Depth in metres of an .npy file, or of a 16-bit grey PNG or TIFF file in millimetres; TIFF files of floats hold metres."""
     import io
 
     if name.endswith(".npy"):
         return np.load(io.BytesIO(data)).astype(np.float32)
+    if name.lower().endswith((".tif", ".tiff")):
+        got = read_grey_tiff(data)
+        return got.astype(np.float32) if got.dtype.kind == "f" else got.astype(np.float32) / 1000.0
     return read_grey_png(data).astype(np.float32) / 1000.0
 
 
+def write_depth(depth: np.ndarray, name: str) -> bytes:
+    """The file content of a depth image: metres as .npy or float TIFF, rounded millimetres as PNG."""
+    import io
+
+    if name.endswith(".npy"):
+        out = io.BytesIO()
+        np.save(out, depth.astype(np.float32))
+        return out.getvalue()
+    if name.lower().endswith((".tif", ".tiff")):
+        return write_grey_tiff(depth.astype(np.float32))
+    return write_png(np.clip(np.rint(depth * 1000.0), 0, 65535).astype(np.uint16))
+
+
+def write_png(pixels: np.ndarray) -> bytes:
+    """A PNG file of grey pixels (h, w) of 8 or 16 bits, or of colours (h, w, 3) of 8 bits."""
+    import struct
+    import zlib
+
+    height, width = pixels.shape[:2]
+    colour, depth = (2, 8) if pixels.ndim == 3 else (0, 8 * pixels.dtype.itemsize)
+    raw = pixels.astype(">u2" if depth == 16 else np.uint8).tobytes()
+    line = len(raw) // height
+    body = b"".join(b"\0" + raw[y * line : (y + 1) * line] for y in range(height))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+# Tag numbers of TIFF files, and the sizes of their number types.
+TIFF_TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strips": 273, "samples": 277, "rows": 278, "bytes": 279, "predictor": 317, "format": 339}
+TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
+
+
+def write_grey_tiff(pixels: np.ndarray) -> bytes:
+    """One grey page without compression, in one strip."""
+    import struct
+
+    data = pixels.astype(pixels.dtype.newbyteorder("<")).tobytes()
+    t = TIFF_TAGS
+    kind = 3 if pixels.dtype.kind == "f" else 1
+    tags = [(t["width"], pixels.shape[1]), (t["height"], pixels.shape[0]), (t["bits"], 8 * pixels.dtype.itemsize), (t["compression"], 1), (t["photometric"], 1), (t["strips"], 8), (t["samples"], 1), (t["rows"], pixels.shape[0]), (t["bytes"], len(data)), (t["format"], kind)]
+    pad = b"\0" * (len(data) % 2)
+    head = struct.pack("<2sHI", b"II", 42, 8 + len(data) + len(pad))
+    return head + data + pad + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", tag, 4, 1, v) for tag, v in tags) + struct.pack("<I", 0)
+
+
+def read_grey_tiff(data: bytes) -> np.ndarray:
+    """Pixels of the first page of a grey TIFF file in strips, plain or deflated, of integers or floats."""
+    import struct
+    import zlib
+
+    if data[:2] not in (b"II", b"MM"):
+        raise ValueError("not a TIFF file")
+    end = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(end + "I", data[4:8])[0]
+    found: dict[int, list[int]] = {}
+    for i in range(struct.unpack(end + "H", data[at : at + 2])[0]):
+        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
+        tag, kind, n = struct.unpack(end + "HHI", entry[:8])
+        if kind not in (3, 4):
+            continue
+        size = TIFF_SIZES[kind] * n
+        where = entry[8 : 8 + size] if size <= 4 else data[(p := struct.unpack(end + "I", entry[8:])[0]) : p + size]
+        found[tag] = list(struct.unpack(end + ("H" if kind == 3 else "I") * n, where))
+    get = lambda name, default: found.get(TIFF_TAGS[name], [default])
+    width, height, bits = get("width", 0)[0], get("height", 0)[0], get("bits", 1)[0]
+    packing, kind = get("compression", 1)[0], get("format", 1)[0]
+    if packing not in (1, 8, 32946) or get("samples", 1)[0] != 1 or get("predictor", 1)[0] != 1 or bits not in (8, 16, 32, 64):
+        raise ValueError("only plain or deflated grey TIFF without predictor")
+    strips = [data[a : a + n] for a, n in zip(get("strips", 0), get("bytes", 0))]
+    raw = b"".join(s if packing == 1 else zlib.decompress(s) for s in strips)
+    dtype = np.dtype(f"{end}{'f' if kind == 3 else 'i' if kind == 2 else 'u'}{bits // 8}")
+    return np.frombuffer(raw, dtype, width * height).reshape(height, width)
+
+
+def write_scene(spark: SparkSession, folder: str, n: int, step: int = 1, size: tuple[int, int] = (4, 6)) -> None:
+    """A synthetic RGB-D scene in the folder layout (color, depth, pose, intrinsic): frame i looks along z from (i, i / 2, 0), at depth 1 + i / 10 metres."""
+    for i in range(n):
+        name = str(i * step)
+        pixels = np.zeros((*size, 3), np.uint8)
+        pixels[..., 0], pixels[..., 1] = (i * 7) % 256, np.arange(size[1])[None, :]
+        put(spark, f"{folder}/color/{name}.png", write_png(pixels))
+        put(spark, f"{folder}/depth/{name}.png", write_depth(np.full(size, 1 + i / 10), "d.png"))
+        put(spark, f"{folder}/pose/{name}.txt", f"1 0 0 {i}\n0 1 0 {i / 2}\n0 0 1 0\n0 0 0 1\n".encode())
+    put(spark, f"{folder}/intrinsic/intrinsic_color.txt", b"260 0 160 0\n0 261 120 0\n0 0 1 0\n0 0 0 1\n")
+
+
+def write_sequence(spark: SparkSession, root: str, images: list[tuple[float, str]], depths: list[tuple[float, str]], poses: list[tuple]) -> None:
+    """A timed sequence as three lists: (seconds, path), (seconds, path), (seconds, tx, ty, tz, qx, qy, qz, qw)."""
+    text = lambda rows: ("# timed list\n" + "".join(" ".join([f"{r[0]:.6f}", *map(str, r[1:])]) + "\n" for r in rows)).encode()
+    for name, rows in (("rgb.txt", images), ("depth.txt", depths), ("groundtruth.txt", poses)):
+        put(spark, f"{root}/{name}", text(rows))
+
+
 def read_grey_png(data: bytes) -> np.ndarray:
     """Pixels of a grey PNG of 8 or 16 bits, without interlacing."""
     import struct

@@ -7,14 +7,39 @@ Blank lines and `#` comments are skipped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def numbered(spark: SparkSession, path: str, skip: str | None = None) -> DataFrame:
+    """(file, block, k, line): lines with their place in the split they were read from, without those that match `skip`."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r$", "").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, k = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if skip:
+                b = b.filter(pc.invert(pc.match_substring_regex(b.column("line"), skip)))
+            names, blocks = b.column("file").to_pylist(), b.column("block").to_numpy()
+            places = np.zeros(b.num_rows, np.int64)
+            for i, here in enumerate(zip(names, blocks.tolist())):
+                k = k + 1 if here == at else 0
+                at, places[i] = here, k
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(places), b.column("line")], names=["file", "block", "k", "line"])
+
+    return rows.mapInArrow(run, "file string, block bigint, k bigint, line string")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, no, line) with numbers that follow the order in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+    """(file, no, line) with numbers that follow the order in each file, read split by split: in the first split they count the lines."""
+    return numbered(spark, path).select("file", (F.col("block") + F.col("k")).alias("no"), "line")
 
 
 def tokens(lines: DataFrame) -> DataFrame:

@@ -65,10 +65,37 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders of the shared file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
+        at, fs = _at(spark, p)
+        fs.delete(at, True)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file into any file system that Spark knows."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def small_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file, such as a configuration or a manifest."""
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def micros(ts: Column) -> Column:
