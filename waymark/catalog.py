@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from waymark.queries import geometry, maps, records, runs  # noqa: F401
+    from waymark.queries import checks, formats, geometry, maps, records, runs  # noqa: F401

@@ -8,14 +8,23 @@ import json
 from dataclasses import dataclass, fields
 from typing import Any
 
+from pyspark.sql import SparkSession
 
-def load_config(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            return json.load(f)
-        import yaml
+from waymark.tables import small_text
 
-        return yaml.safe_load(f) or {}
+
+def load_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A YAML or JSON file; with a session, from any file system that Spark knows."""
+    if spark is not None:
+        text = small_text(spark, path)
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text) or {}
 
 
 def override(config: dict, changes: dict[str, Any]) -> dict:
@@ -45,6 +54,9 @@ class _Section:
         return cls(**{k: v for k, v in (config or {}).items() if k in known})
 
 
+# The names and defaults of the settings below.
+
+
 @dataclass(frozen=True)
 class Anchors(_Section):
     alpha: float = 0.6

@@ -7,7 +7,7 @@ arguments.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
@@ -177,6 +177,36 @@ def least_angle(d: Column, others: Column) -> Column:
     return F.coalesce(F.array_min(F.transform(others, lambda o: angle_between(d, o))), F.lit(180.0))
 
 
+def valid_depth(z: Column) -> Column:
+    """Finite and greater than 1e-4; False for null."""
+    return F.coalesce((z > 1e-4) & ~F.isnan(z) & (z < float("inf")), F.lit(False))
+
+
+def projection_matrix(t: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
+    """K [R | t] of a camera-to-world pose, row-major 3x4."""
+    m = _inverse(_rows(t))
+    line = lambda f, c, i: [f * a + c * b for a, b in zip(m[i], m[2])]
+    return F.array(*line(fx, cx, 0), *line(fy, cy, 1), *m[2])
+
+
+def triangulated(rows: DataFrame, key: str) -> DataFrame:
+    """(key, xyz): points of two pixels (x1, x2) seen by two projection matrices (p1, p2), a batch of rows at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            p = np.stack([np.array(b.column(c).to_pylist(), dtype=np.float64).reshape(-1, 3, 4) for c in ("p1", "p2")])
+            x = np.stack([np.array(b.column(c).to_pylist(), dtype=np.float64).reshape(-1, 2) for c in ("x1", "x2")])
+            lines = [x[i, :, k, None] * p[i, :, 2] - p[i, :, k] for i in (0, 1) for k in (0, 1)]
+            h = np.linalg.svd(np.stack(lines, axis=1))[2][:, -1]
+            yield pa.RecordBatch.from_pydict({key: b.column(key), "xyz": pa.array(list(h[:, :3] / h[:, 3:]), pa.list_(pa.float64()))})
+
+    return rows.select(key, "p1", "p2", "x1", "x2").mapInArrow(run, f"{key} {kind}, xyz array<double>")
+
+
 def triangulate(p1, p2, x1, x2):
     """World point of two pixels seen by two 3x4 projection matrices (numpy): the direct linear solution."""
     import numpy as np

@@ -296,9 +296,7 @@ def merge_within(points: DataFrame, group: str, radius: float, least: float) ->
         table = table.sort_by("obs_id")
         desc = np.array(table.column("desc").to_pylist(), dtype=np.float64)
         xyz = np.array(table.column("xyz").to_pylist(), dtype=np.float64)
-        memory, numbers = Memory(desc.shape[1]), []
-        for i in range(len(desc)):
-            numbers.append(memory.add(xyz[i : i + 1], desc[i : i + 1], i, how)[0])
+        numbers = Memory(desc.shape[1]).add(xyz, desc, 0, how)
         return pa.table({group: table.column(group), "obs_id": table.column("obs_id"), "landmark_no": pa.array(numbers, pa.int64())})
 
     return points.select(group, "obs_id", "xyz", "desc").filter("xyz is not null and desc is not null").groupBy(group).applyInArrow(run, f"{group} {kind}, obs_id bigint, landmark_no bigint")

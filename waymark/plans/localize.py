@@ -9,7 +9,7 @@ the queries that aren't solved yet.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +59,13 @@ def score_rows(rows: DataFrame, m: Matcher) -> DataFrame:
     return rows.withColumn("score", s)
 
 
-def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates: DataFrame | None = None) -> DataFrame:
+def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates: DataFrame | None = None, prior: DataFrame | None = None, edge: float = 60.0) -> DataFrame:
     """(query_id, anchor_idx, point_id, score, cosine): one-to-one matches of each query.
 
     anchors: anchor_id, query_id, anchor_idx, desc. lms: point_id, mu, staticness, n_obs, ... candidates:
-    (query_id, point_id) if a query may only see some landmarks; without it, all.
+    (query_id, point_id) if a query may only see some landmarks; without it, all. prior: (query_id, T_wc, camera)
+    of queries whose pose is known roughly: candidates off it by `edge` pixels or behind it are closed (then anchors
+    also have u, v and lms x, y, z).
     """
     if candidates is None:
         top = retrieval.topk_cosine(anchors, "anchor_id", "desc", lms, "point_id", "mu", m.topk, m.dim).drop("rk")
@@ -77,6 +79,9 @@ def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates
     passed = near.filter(F.col("cosine") >= m.least_cosine) if m.adaptive_margin is None else retrieval.adaptive_cosine(near, anchor, "cosine", m.least_cosine, m.adaptive_margin).drop("floor")
     passed = passed.join(short.select("query_id", "point_id"), ["query_id", "point_id"], "left_semi")
     wide = retrieval.late_join(passed, short, lms, "point_id").join(anchors.select("anchor_id", "desc"), "anchor_id")
+    if prior is not None:
+        gates = with_prior(passed, prior, lms, anchors, edge)
+        wide = wide.join(gates, ["query_id", "anchor_idx", "point_id"])
     scored = score_rows(wide, m).filter(F.col("score") > scores.GATED)  # the geometry gate closes candidates
     scored = cut(scored.select("query_id", "anchor_idx", "point_id", "cosine", "score"))
     best = retrieval.accepted(scored, anchor, "score", "point_id", m.least_score, m.margin)
@@ -87,9 +92,9 @@ def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates
     return assign.capped(chosen, "query_id", "score", m.most_matches, "anchor_idx")
 
 
-def localize(anchors: DataFrame, lms: DataFrame, cameras: DataFrame, m: Matcher = Matcher(), how: pnp.Ransac = pnp.Ransac(), candidates: DataFrame | None = None) -> DataFrame:
+def localize(anchors: DataFrame, lms: DataFrame, cameras: DataFrame, m: Matcher = Matcher(), how: pnp.Ransac = pnp.Ransac(), candidates: DataFrame | None = None, prior: DataFrame | None = None, edge: float = 60.0) -> DataFrame:
     """A pose row for every query of `cameras` (query_id, camera); anchors also have u, v; lms also have x, y, z."""
-    found = match(anchors, lms, m, candidates)
+    found = match(anchors, lms, m, candidates, prior, edge)
     full = found.join(anchors.select("query_id", "anchor_idx", "u", "v"), ["query_id", "anchor_idx"]).join(lms.select("point_id", "x", "y", "z"), "point_id").join(cameras, "query_id")
     poses = pnp.solve_poses(full, "query_id", how)
     none = {"success": F.lit(False), "num_inliers": F.lit(0), "num_matches": F.lit(0)}
@@ -97,6 +102,18 @@ def localize(anchors: DataFrame, lms: DataFrame, cameras: DataFrame, m: Matcher
     return out.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
 
 
+def localize_refined(anchors: DataFrame, lms: DataFrame, cameras: DataFrame, m: Matcher = Matcher(), how: pnp.Ransac = pnp.Ransac(), candidates: DataFrame | None = None, least_matches: int = 12, least_inliers: int = 8, edge: float = 60.0) -> DataFrame:
+    """Early geometry: a fast first pose with a wider threshold, then matching and pose again with that pose as prior.
+
+    Queries whose first pose rests on too few matches or inliers keep their first matches; all get the final pose solver.
+    """
+    fast = replace(how, error_px=max(1.5 * how.error_px, 8.0), iterations=min(how.iterations, 512))
+    first = cut(localize(anchors, lms, cameras, m, fast, candidates))
+    sure = first.filter((F.col("num_matches") >= least_matches) & (F.col("num_inliers") >= least_inliers) & F.col("success"))
+    prior = cut(sure.select("query_id", "T_wc").join(cameras, "query_id"))
+    return localize(anchors, lms, cameras, m, how, candidates, prior, edge)
+
+
 def localize_staged(anchors: DataFrame, lms: DataFrame, cameras: DataFrame, groups: DataFrame, schedule: DataFrame, group_landmarks: DataFrame, m: Matcher = Matcher(), how: pnp.Ransac = pnp.Ransac(), enough: int = 24, hard: int = 40) -> DataFrame:
     """Staged verification: candidates grow by stage, queries stop once a pose has `enough` inliers; the best pose of all stages stays.
 

@@ -118,14 +118,15 @@ def backproject_depth(spark, sf_dir):
 WITH s AS (SELECT record_id, any_value(pose) AS p FROM sensor_records WHERE record_id IS NOT NULL AND sensor = 'pose' GROUP BY 1),
 g AS (SELECT * FROM s WHERE len(p) = 16 AND len(list_filter(p, lambda v: v IS NOT NULL AND isfinite(v))) = 16)
 SELECT record_id, round(-(p[1]*p[4]+p[5]*p[8]+p[9]*p[12]), 5) + 0.0 AS ix, round(-(p[2]*p[4]+p[6]*p[8]+p[10]*p[12]), 5) + 0.0 AS iy, round(-(p[3]*p[4]+p[7]*p[8]+p[11]*p[12]), 5) + 0.0 AS iz,
- round(sqrt(greatest(0, 1+p[1]+p[6]+p[11])) / 2, 5) AS qw FROM g""",
+ round(sqrt(greatest(0, 1+p[1]+p[6]+p[11])) / 2, 4) AS qw, round(sqrt(greatest(0, 1+p[1]-p[6]-p[11])) / 2 * CASE WHEN p[10] - p[7] < 0 THEN -1 ELSE 1 END, 4) + 0.0 AS qx,
+ round(sqrt(greatest(0, 1-p[1]+p[6]-p[11])) / 2 * CASE WHEN p[3] - p[9] < 0 THEN -1 ELSE 1 END, 4) + 0.0 AS qy, round(sqrt(greatest(0, 1-p[1]-p[6]+p[11])) / 2 * CASE WHEN p[5] - p[2] < 0 THEN -1 ELSE 1 END, 4) + 0.0 AS qz FROM g""",
 )
 def quaternion_roundtrip(spark, sf_dir):
     """Inverse translation and quaternion of recorded poses."""
     rows = landmarks.once(table(spark, sf_dir, "sensor_records").filter("sensor = 'pose'"), "record_id").filter(views.finite("pose", 16))
     t = F.col("pose")
     inv, q = pose.invert(t), pose.to_quaternion(t)
-    return rows.select("record_id", (r(inv[3], 5) + 0.0).alias("ix"), (r(inv[7], 5) + 0.0).alias("iy"), (r(inv[11], 5) + 0.0).alias("iz"), r(q[0], 5).alias("qw"))
+    return rows.select("record_id", (r(inv[3], 5) + 0.0).alias("ix"), (r(inv[7], 5) + 0.0).alias("iy"), (r(inv[11], 5) + 0.0).alias("iz"), *[(r(q[i], 4) + 0.0).alias(f"q{c}") for i, c in enumerate("wxyz")])
 
 
 _VIEWS = (

@@ -9,6 +9,7 @@ from waymark.functions import scores, vec
 from waymark.operators import assign, candidates, landmarks, retrieval
 from waymark.plans import localize
 from waymark.queries import views
+from waymark.queries.geometry import _VIEWS
 from waymark.queries.views import MATCHES_SQL, RETRIEVALS_SQL
 from waymark.tables import cut, table
 
@@ -63,9 +64,10 @@ def flagship_match(spark, sf_dir):
     return kept.select("query_id", "anchor_idx", "point_id", r6(F.col("cosine")).alias("cos"), r6(F.col("score")).alias("score"))
 
 
-@query("vector_normalize", "SELECT vec_id, round(embedding[1]::DOUBLE / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8), 6) AS x0, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+@query("vector_normalize", "SELECT vec_id, i::INTEGER AS i, round(x[i + 1] / (n + 1e-8), 6) AS x, round(n, 6) AS norm FROM (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n, unnest(range(len(x))) AS i FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) e) z")
 def vector_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", r6(vec.normalize(F.col("embedding"))[0]).alias("x0"), r6(vec.norm(F.col("embedding"))).alias("norm"))
+    both = table(spark, sf_dir, "embeddings").select("vec_id", vec.norm(F.col("embedding")).alias("n"), F.posexplode(vec.normalize(F.col("embedding"))).alias("i", "x"))
+    return both.select("vec_id", "i", r6(F.col("x")).alias("x"), r6(F.col("n")).alias("norm"))
 
 
 @query("vector_mean_by_group", _OBS + "SELECT point_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT point_id, unnest(range(64)) AS i, unnest(mu) AS x FROM m) z")
@@ -154,7 +156,26 @@ def ppca_score(spark, sf_dir):
     return a.join(b, "vec_id").join(c, "vec_id")
 
 
-@query("landmark_store")
+_STORE = (
+    _VIEWS
+    + """, o AS (SELECT obs_id, any_value(landmark_id) AS landmark_id, any_value(frame_id) AS frame_id, any_value(reproj_error)::DOUBLE AS e FROM observations WHERE obs_id IS NOT NULL GROUP BY 1),
+os AS (SELECT landmark_id, least(count(*), 65535) AS n_obs, count(DISTINCT frame_id) AS n_frames, avg(e) AS e FROM o WHERE landmark_id IS NOT NULL AND frame_id IS NOT NULL GROUP BY 1),
+lm AS (SELECT landmark_id, any_value(mu) AS mu, any_value(eigvals) AS eigvals, any_value(sigma_perp2) AS sigma_perp2 FROM landmarks WHERE landmark_id IS NOT NULL GROUP BY 1),
+ok AS (SELECT *, sqrt(sigma_perp2::DOUBLE) AS spread FROM lm WHERE len(mu) = 64 AND len(list_filter(mu, lambda v: v IS NOT NULL AND isfinite(v))) = 64 AND sigma_perp2 >= 0 AND NOT isnan(sigma_perp2)),
+ag AS (SELECT x.point3d_id, degrees(acos(greatest(-1, least(1, x.a*y.a+x.b*y.b+x.c*y.c)))) AS g FROM d x JOIN d y ON x.point3d_id = y.point3d_id AND x.image_id < y.image_id),
+nv AS (SELECT point3d_id, count(*) AS n_views FROM d GROUP BY 1), sv AS (SELECT point3d_id, avg(g) AS m, max(g) AS t FROM ag GROUP BY 1),
+mz AS (SELECT point3d_id, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM d GROUP BY 1), mm AS (SELECT point3d_id, a / n AS a, b / n AS b, c / n AS c FROM (SELECT *, sqrt(a*a+b*b+c*c) AS n FROM mz) y),
+ev AS (SELECT d.point3d_id, min(d.a*mm.a+d.b*mm.b+d.c*mm.c) AS lo, max(d.a*mm.a+d.b*mm.b+d.c*mm.c) AS hi FROM d JOIN mm USING (point3d_id) GROUP BY 1),
+al AS (SELECT os.landmark_id, pt.xyz, mu, eigvals, sigma_perp2, n_obs, n_frames, spread, e, lo, hi, CASE WHEN coalesce(n_views, 0) <= 1 THEN 0.35 ELSE greatest(0, least(1, 0.65::DOUBLE * m / 25 + 0.35::DOUBLE * t / 45)) END AS dv
+  FROM os JOIN pt ON pt.point3d_id = os.landmark_id JOIN ok ON ok.landmark_id = os.landmark_id LEFT JOIN nv ON nv.point3d_id = os.landmark_id LEFT JOIN sv ON sv.point3d_id = os.landmark_id LEFT JOIN ev ON ev.point3d_id = os.landmark_id
+  WHERE n_obs >= 2 AND pt.xyz IS NOT NULL),
+sc AS (SELECT *, least(1, greatest(0, 0.45::DOUBLE * tanh(n_obs / 6.0::DOUBLE) + 0.25::DOUBLE * exp(-spread) + 0.2::DOUBLE * exp(-greatest(0, coalesce(e, 0))) + 0.1::DOUBLE * dv)) AS st FROM al)
+SELECT landmark_id, xyz, mu, eigvals, sigma_perp2, n_obs, n_frames, round(spread, 5) AS spread, round(st, 5) AS staticness, round(coalesce(lo, -1), 5) AS min_cos, round(coalesce(hi, 1), 5) AS max_cos FROM sc WHERE st >= 0.2
+"""
+)
+
+
+@query("landmark_store", _STORE)
 def landmark_store(spark, sf_dir):
     """The landmark table built from observations, tracks and the summaries of the descriptors."""
     points = table(spark, sf_dir, "points3d")
@@ -422,13 +443,37 @@ def edges(spark, sf_dir):
     return rows.select("query_id", "anchor_index", "landmark_id", "score")
 
 
-@query("greedy_assignment")
+def _greedy_sql(edges: str, out: str) -> str:
+    """Tables of rounds: the edges that are the best left at both ends are taken, what shares an end with them leaves."""
+    return f""", {out}_r(query_id, anchor_index, landmark_id, score, done) AS (SELECT query_id, anchor_index, landmark_id, score, false FROM {edges}
+  UNION ALL SELECT query_id, anchor_index, landmark_id, score, b FROM (SELECT *, bool_or(b) OVER (PARTITION BY query_id, anchor_index) AS lt, bool_or(b) OVER (PARTITION BY query_id, landmark_id) AS rt
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, anchor_index ORDER BY score DESC, anchor_index, landmark_id) = 1 AND row_number() OVER (PARTITION BY query_id, landmark_id ORDER BY score DESC, anchor_index, landmark_id) = 1 AS b
+      FROM {out}_r WHERE NOT done) y) x WHERE b OR NOT (lt OR rt)),
+{out} AS (SELECT query_id, anchor_index, landmark_id, score FROM {out}_r WHERE done)
+"""
+
+
+_RECURSIVE = MATCHES_SQL.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + ", e AS (SELECT query_id, anchor_index, landmark_id, score FROM m WHERE coarse_cos >= coarse_cosine_min)"
+
+
+@query("greedy_assignment", _RECURSIVE + _greedy_sql("e", "g") + "SELECT query_id, anchor_index, landmark_id, score FROM g")
 def greedy_assignment(spark, sf_dir):
     """One-to-one matches of every query by rounds of locally best edges."""
     return assign.greedy_rounds(edges(spark, sf_dir), "query_id", "anchor_index", "landmark_id", "score")
 
 
-@query("assignment_capped")
+_FILLED = """, r AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS s2 FROM m WINDOW w AS (PARTITION BY query_id, anchor_index ORDER BY score DESC, landmark_id)),
+acc AS (SELECT query_id, anchor_index, landmark_id, score FROM r WHERE rk = 1 AND (s2 IS NULL OR score - s2 >= margin_min) AND coarse_cos >= coarse_cosine_min),
+cnt AS (SELECT query_id, count(*) AS n, list(landmark_id) AS used FROM acc GROUP BY 1),
+st(query_id, n, used, a, l, s, i) AS (SELECT q.query_id, coalesce(n, 0), coalesce(used, []::BIGINT[]), NULL::INTEGER, NULL::BIGINT, NULL::DOUBLE, 0 FROM (SELECT DISTINCT query_id FROM e) q LEFT JOIN cnt ON q.query_id = cnt.query_id WHERE coalesce(n, 0) < 4
+  UNION ALL SELECT query_id, n + 1, list_append(used, landmark_id), anchor_index, landmark_id, score, i + 1 FROM (SELECT st.query_id, n, used, i, e.anchor_index, e.landmark_id, e.score,
+      row_number() OVER (PARTITION BY st.query_id ORDER BY e.anchor_index, e.score DESC, e.landmark_id) AS k
+    FROM st JOIN e ON st.query_id = e.query_id WHERE n < 4 AND (a IS NULL OR e.anchor_index > a) AND NOT list_contains(used, e.landmark_id)) z WHERE k = 1),
+fil AS (SELECT * FROM acc UNION ALL SELECT query_id, a, l, s FROM st WHERE i > 0)
+"""
+
+
+@query("assignment_capped", _RECURSIVE + _FILLED + _greedy_sql("fil", "g") + "SELECT query_id, anchor_index, landmark_id, score FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor_index) <= 32")
 def assignment_capped(spark, sf_dir):
     """The same in one pass over each query, cut to the 32 best matches, filled up to 4."""
     all_edges = edges(spark, sf_dir)

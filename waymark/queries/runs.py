@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,10 +9,10 @@ from waymark.catalog import query
 from waymark.operators import anchors as tokens_
 from waymark.operators import evaluate, landmarks, pnp, spatial, tracks
 from waymark.queries import views
-from waymark.queries.views import SEQ_SQL
+from waymark.queries.views import IMAGES_SQL, SEQ_SQL
 from waymark.sources import lists, sinks
 from waymark.streaming import online
-from waymark.tables import micros, table
+from waymark.tables import micros, scratch, table
 
 
 def r6(c):
@@ -216,15 +213,14 @@ def active_pairs(spark, sf_dir):
     return sinks.active_pairs(p, q, d).groupBy("query_name").agg(F.count("*").alias("n"))
 
 
-@query("pose_lines")
+@query("pose_lines", IMAGES_SQL + "SELECT 'img' || image_id AS name, round(cx, 4) + 0.0 AS cx, round(cy, 4) + 0.0 AS cy, round(cz, 4) + 0.0 AS cz FROM img")
 def pose_lines(spark, sf_dir):
     """Result lines of all images, written and read again."""
     rows = views.posed_images(spark, sf_dir).select(F.concat(F.lit("img"), "image_id").alias("name"), "T_wc")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = os.path.join(shared, "pose_lines_" + os.urandom(6).hex()) if shared else tempfile.mkdtemp(prefix="waymark-lines-")
+    at = scratch(spark, "pose-lines")
     sinks.save_poses(rows, at)
     back = lists.predicted_poses(spark.read.text(at).selectExpr("'f' as file", "0 as no", "value as line"))
-    return back.select("name", *[F.round(F.col("T_wc")[4 * i + 3], 4).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
+    return back.select("name", *[(F.round(F.col("T_wc")[4 * i + 3], 4) + 0.0).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
 
 
 # --- tokens --------------------------------------------------------------------------
@@ -266,10 +262,21 @@ def token_scores(spark, sf_dir):
     return got.withColumn("score", r6(F.col("score")))
 
 
-@query("anchor_grid_nms")
+_SELECTED = """, sc AS (SELECT image_id, r, c, 0.6::DOUBLE * dist + 0.4::DOUBLE AS z FROM s),
+tk AS (SELECT image_id, r, c, (z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w + 1e-8) AS score, least(r // 5, 1) * 2 + least(c // 5, 1) AS cell FROM sc WINDOW w AS (PARTITION BY image_id)),
+od AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cell, score DESC, r * 10 + c) AS n FROM tk),
+wk(image_id, n, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::STRUCT(r INTEGER, c INTEGER, cell INTEGER)[] FROM od
+  UNION ALL SELECT wk.image_id, wk.n + 1, CASE WHEN len(list_filter(kept, lambda k: k.cell = od.cell)) < 3 AND len(list_filter(kept, lambda k: abs(k.r - od.r) <= 2 AND abs(k.c - od.c) <= 2)) = 0
+    THEN list_append(kept, {'r': od.r, 'c': od.c, 'cell': od.cell}) ELSE kept END FROM wk JOIN od ON wk.image_id = od.image_id AND od.n = wk.n + 1),
+fin AS (SELECT image_id, unnest(arg_max(kept, n)) AS k FROM wk GROUP BY 1)
+SELECT fin.image_id, (row_number() OVER (PARTITION BY fin.image_id ORDER BY score DESC, tk.r * 10 + tk.c) - 1)::INTEGER AS anchor_idx, tk.r, tk.c, round(score, 9) AS score FROM fin JOIN tk ON fin.image_id = tk.image_id AND k.r = tk.r AND k.c = tk.c
+"""
+
+
+@query("anchor_grid_nms", _DISTINCT.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + _SELECTED)
 def anchor_grid_nms(spark, sf_dir):
     scored = tokens_.token_scores(tokens_.distinctiveness(grid(spark, sf_dir)), None)
-    return tokens_.select_anchors(scored, topk=12, cells=(2, 2), radius=1)
+    return tokens_.select_anchors(scored, topk=12, cells=(2, 2), radius=1).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -281,14 +288,14 @@ o AS (SELECT *, floor(y)::INTEGER + a AS r, floor(x)::INTEGER + b AS c, (CASE a
 j AS (SELECT point_id, w, d FROM o JOIN t ON o.image_id = t.image_id AND t.r = least(9, o.r) AND t.c = least(9, o.c)),
 e AS (SELECT point_id, i, sum(w * x) AS x FROM (SELECT point_id, w, generate_subscripts(d, 1) AS i, unnest(d) AS x FROM j) z GROUP BY 1, 2),
 n AS (SELECT point_id, sqrt(sum(x * x)) + 1e-8 AS n FROM e GROUP BY 1)
-SELECT point_id, round(x / n, 6) AS x1 FROM e JOIN n USING (point_id) WHERE i = 1""",
+SELECT point_id, (i - 1)::INTEGER AS i, round(x / n, 6) AS x FROM e JOIN n USING (point_id)""",
 )
 def bilinear_sample(spark, sf_dir):
     g = grid(spark, sf_dir)
     images = g.select((F.max("image_id") + 1).alias("n"))
     p = table(spark, sf_dir, "part").crossJoin(F.broadcast(images))  # a single row
     p = p.selectExpr("p_partkey as point_id", "p_partkey % n as image_id", "(p_partkey % 91) / 10 as gr", "(p_partkey % 83) / 9 as gc")
-    return tokens_.bilinear(p, g, (10, 10)).select("point_id", r6(F.col("desc")[0]).alias("x1"))
+    return tokens_.bilinear(p, g, (10, 10)).select("point_id", F.posexplode("desc").alias("i", "x")).select("point_id", "i", r6(F.col("x")).alias("x"))
 
 
 # --- poses and sequences -----------------------------------------------------------------
