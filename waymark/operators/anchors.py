@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
+from waymark.operators.groups import by_key
 
 
 def scaled(value: Column, image: str) -> Column:
@@ -88,7 +89,7 @@ def select_anchors(tokens: DataFrame, topk: int = 200, cells: tuple[int, int] =
         got = table.take(pa.array(keep, pa.int64()))
         return got.append_column("anchor_idx", pa.array(range(len(keep)), pa.int32())).select([image, "anchor_idx", "r", "c", "score"])
 
-    return tokens.select(image, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("score").cast("double").alias("score")).groupBy(image).applyInArrow(run, f"{image} {kind}, anchor_idx int, r int, c int, score double")
+    return tokens.select(image, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("score").cast("double").alias("score")).transform(by_key, [image], run, f"{image} {kind}, anchor_idx int, r int, c int, score double")
 
 
 def bilinear(points: DataFrame, tokens: DataFrame, grid: tuple[int, int], image: str = "image_id", keep: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.groups import by_key
 from waymark.tables import cut
 
 
@@ -48,7 +49,7 @@ def greedy(edges: DataFrame, query: str, left: str, right: str, score: str) -> D
                 keep.append(i)
         return table.take(pa.array(keep, pa.int64()))
 
-    return narrow.groupBy(query).applyInArrow(run, narrow.schema)
+    return by_key(narrow, [query], run, narrow.schema)
 
 
 def capped(rows: DataFrame, query: str, score: str, most: int, *ids: str) -> DataFrame:
@@ -74,5 +75,5 @@ def fill_matches(matches: DataFrame, candidates: DataFrame, query: str, left: st
                 done, n = a, n + 1
         return table.take(pa.array(keep, pa.int64())).select([query, left, right, score])
 
-    added = short.groupBy(query).applyInArrow(run, matches.select(query, left, right, score).schema)
+    added = by_key(short, [query], run, matches.select(query, left, right, score).schema)
     return matches.select(query, left, right, score).unionByName(added)

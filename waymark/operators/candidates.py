@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.groups import by_key
+
 
 def retrieved(pairs: DataFrame, most: int) -> DataFrame:
     """The first `most` retrieved images of every query; rnk starts at 0."""
@@ -46,9 +48,9 @@ def covisibility(expanded: DataFrame) -> DataFrame:
 
     Pairs exist only among the retrieved images of one query, whose number the retrieval bounds.
     """
-    a = expanded.select("query_id", "lm_idx", F.col("frame_id").alias("f1")).distinct()
-    b = expanded.select("query_id", "lm_idx", F.col("frame_id").alias("f2")).distinct()
-    return a.join(b, ["query_id", "lm_idx"]).filter("f1 < f2").groupBy("query_id", "f1", "f2").agg(F.count("*").alias("n"))
+    seen = expanded.groupBy("query_id", "lm_idx").agg(F.array_sort(F.collect_set("frame_id")).alias("f")).filter("size(f) > 1")  # at most the retrieved images
+    pairs = F.expr("flatten(transform(f, (a, i) -> transform(slice(f, i + 2, size(f)), b -> named_struct('f1', a, 'f2', b))))")
+    return seen.select("query_id", F.explode(pairs).alias("p")).groupBy("query_id", F.col("p.f1").alias("f1"), F.col("p.f2").alias("f2")).agg(F.count("*").alias("n"))
 
 
 def groups_in_order(pairs: DataFrame, size: int) -> DataFrame:
@@ -82,7 +84,7 @@ def covisibility_groups(expanded: DataFrame, size: int) -> DataFrame:
         q = table.column("query_id")[0].as_py()
         return pa.table({"query_id": pa.array([q] * len(rows), pa.int64()), "frame_id": pa.array([r[0] for r in rows], pa.int64()), "group_no": pa.array([r[1] for r in rows], pa.int32()), "place": pa.array([r[2] for r in rows], pa.int32())})
 
-    return expanded.select("query_id", "rnk", "frame_id", "lm_idx").groupBy("query_id").applyInArrow(run, "query_id bigint, frame_id bigint, group_no int, place int")
+    return expanded.select("query_id", "rnk", "frame_id", "lm_idx").transform(by_key, ["query_id"], run, "query_id bigint, frame_id bigint, group_no int, place int")
 
 
 def stage_schedule(totals: DataFrame, limits: list[int]) -> DataFrame:

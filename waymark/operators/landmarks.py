@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
+from waymark.operators.groups import by_key
 
 
 def once(df: DataFrame, *keys: str) -> DataFrame:
@@ -118,7 +119,7 @@ def subspaces(rows: DataFrame, key: str, vector: str, rank: int = 2, floored: bo
         )
 
     usable = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*cols)
-    return usable.groupBy(key).applyInArrow(run, ddl)
+    return by_key(usable, [key], run, ddl)
 
 
 # --- views -----------------------------------------------------------------
@@ -154,7 +155,7 @@ def view_diversity(views: DataFrame, key: str = "point3d_id") -> DataFrame:
         pairs = n * (n - 1) // 2
         return pa.table({key: table.column(key).slice(0, 1), "n_views": pa.array([n], pa.int64()), "mean_angle": pa.array([total / pairs if pairs else None], pa.float64()), "max_angle": pa.array([top if pairs else None], pa.float64())})
 
-    return views.select(key, "dir").groupBy(key).applyInArrow(run, f"{key} {kind}, n_views bigint, mean_angle double, max_angle double")
+    return by_key(views.select(key, "dir"), [key], run, f"{key} {kind}, n_views bigint, mean_angle double, max_angle double")
 
 
 def view_envelope(views: DataFrame, key: str = "point3d_id") -> DataFrame:
@@ -170,7 +171,7 @@ def view_envelope(views: DataFrame, key: str = "point3d_id") -> DataFrame:
 def bounded_views(views: DataFrame, most: int, key: str = "point3d_id", order: str = "image_id", gain: float = 1.0) -> DataFrame:
     """At most `most` rows of each key, kept for their diversity of view: in order, a row beyond the bound
     replaces the most redundant kept one if its least angle to the kept exceeds that one's by `gain` degrees.
-    most <= 0 keeps none. (An ordered fold over each key's rows: state of `most` rows, streamed.)
+    most <= 0 keeps none. (An ordered fold over each key's rows, which a task holds together.)
     """
     schema = views.schema
     names = views.columns
@@ -195,10 +196,9 @@ def bounded_views(views: DataFrame, most: int, key: str = "point3d_id", order: s
         return sorted(kept)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
         return table.take(pa.array(fold(table.column("dir").to_pylist()), pa.int64()))
 
-    return views.select(*names).groupBy(key).applyInArrow(run, schema)
+    return by_key(views.select(*names), [key], run, schema, [order])
 
 
 # --- indexes, votes, budgets ------------------------------------------------
@@ -293,10 +293,9 @@ def merge_within(points: DataFrame, group: str, radius: float, least: float) ->
     how = Online(merge_radius=radius, merge_cosine=least)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("obs_id")
         desc = np.array(table.column("desc").to_pylist(), dtype=np.float64)
         xyz = np.array(table.column("xyz").to_pylist(), dtype=np.float64)
         numbers = Memory(desc.shape[1]).add(xyz, desc, 0, how)
         return pa.table({group: table.column(group), "obs_id": table.column("obs_id"), "landmark_no": pa.array(numbers, pa.int64())})
 
-    return points.select(group, "obs_id", "xyz", "desc").filter("xyz is not null and desc is not null").groupBy(group).applyInArrow(run, f"{group} {kind}, obs_id bigint, landmark_no bigint")
+    return points.select(group, "obs_id", "xyz", "desc").filter("xyz is not null and desc is not null").transform(by_key, [group], run, f"{group} {kind}, obs_id bigint, landmark_no bigint", ["obs_id"])

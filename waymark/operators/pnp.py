@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.groups import by_key
+
 
 @dataclass(frozen=True)
 class Ransac:
@@ -206,7 +208,6 @@ def solve_poses(matches: DataFrame, query: str = "query_id", how: Ransac = Ransa
     sizes = thresholds or [how.error_px]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in values])
         m = np.stack([table.column(c).to_numpy() for c in values], axis=1)
         cam = np.array(table.column("camera")[0].as_py() + [0.0] * 8)[:8]
         q = table.column(query)[0].as_py()
@@ -224,5 +225,5 @@ def solve_poses(matches: DataFrame, query: str = "query_id", how: Ransac = Ransa
             }
         )
 
-    out = rows.groupBy(query).applyInArrow(run, f"{query} {kind}, error_px double, {POSES}")
+    out = by_key(rows, [query], run, f"{query} {kind}, error_px double, {POSES}", values)
     return out if thresholds else out.drop("error_px")

@@ -4,7 +4,10 @@ The exact top-k join packs the vectors of both sides into blocks and compares a
 block of queries with a block of the memory by one matrix product; each task
 keeps k of every query, and a final ranking merges the blocks. The query side
 is a stated set of queries. (For very large memories the approximate forest of
-the optional subpackage visits only a part of them.)
+the optional subpackage visits only a part of them.) Inside groups, such as the
+landmarks of one image, both sides of a group are cut into blocks by its own
+sizes: a group with a third of all rows is many pairs of blocks, of each of
+which k rows a query come out, and never all its pairs.
 
 Null vectors and vectors of the wrong width take no part; k beyond the memory
 gives all of it; ties go to the smaller id.
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
+from waymark.operators.groups import whole_groups
 from waymark.tables import cut
 
 BLOCK = 8192
@@ -46,7 +50,7 @@ def _packed(df: DataFrame, id_: str, vector: str, dim: int, blocks: int, side: i
     return rows.mapInArrow(run, "block int, side int, ids binary, xs binary")
 
 
-def topk_cosine(queries: DataFrame, query_id: str, query_vector: str, memory: DataFrame, memory_id: str, memory_vector: str, k: int, dim: int = 64, within: str | None = None) -> DataFrame:
+def topk_cosine(queries: DataFrame, query_id: str, query_vector: str, memory: DataFrame, memory_id: str, memory_vector: str, k: int, dim: int = 64) -> DataFrame:
     """(query_id, memory_id, cosine, rk) of the k most similar memory vectors of every query.
 
     Ids must be unique on both sides (see `landmarks.once`).
@@ -83,6 +87,56 @@ def topk_cosine(queries: DataFrame, query_id: str, query_vector: str, memory: Da
     return parts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(F.col("qid").alias(query_id), F.col("mid").alias(memory_id), "cosine", "rk")
 
 
+ASKED, STORED = 512, 2048  # rows of a block on either side, inside groups
+
+
+def topk_cosine_within(queries: DataFrame, query_id: str, query_vector: str, memory: DataFrame, memory_id: str, memory_vector: str, members: DataFrame, group: str, k: int, dim: int = 64) -> DataFrame:
+    """(query_id, memory_id, cosine, rk): the k most similar of those memory vectors that are members of the query's group.
+
+    queries have `group`; members: (group, memory_id). Ids are unique on their sides; repeated members count once.
+    Cosines are rounded to nine decimals before they are ranked; ties go to the smaller id.
+    """
+    usable = lambda c: F.coalesce((F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull()), F.lit(False))
+    doubles = lambda c: F.col(c).cast("array<double>").alias("x")
+    ask = queries.filter(F.col(query_id).isNotNull() & F.col(group).isNotNull() & usable(query_vector)).select(F.col(group).alias("g"), F.col(query_id).cast("bigint").alias("id"), doubles(query_vector))
+    named = members.filter(F.col(group).isNotNull() & F.col(memory_id).isNotNull()).select(F.col(group).alias("g"), F.col(memory_id).cast("bigint").alias("id")).distinct()
+    base = named.join(memory.filter(usable(memory_vector)).select(F.col(memory_id).cast("bigint").alias("id"), doubles(memory_vector)), "id").select("g", "id", "x")
+    sizes = ask.groupBy("g").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("na")).join(named.groupBy("g").agg(F.ceil(F.count("*") / STORED).cast("int").alias("nb")), "g")
+    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = ask.join(sizes, "g").select("g", spread("na").alias("a"), every("nb").alias("b"), F.lit(1).alias("side"), "id", "x")
+    right = base.join(sizes, "g").select("g", every("na").alias("a"), spread("nb").alias("b"), F.lit(0).alias("side"), "id", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in whole_groups(batches, ["g", "a", "b"]):
+            out = []
+            for table in groups:
+                side = table.column("side").to_numpy()
+                if side[0] == side[-1]:
+                    continue
+                x = table.column("x").combine_chunks()
+                x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, dim)
+                norms = np.linalg.norm(x, axis=1)
+                good = np.isfinite(norms) & (norms > 0)
+                ids, side, x = table.column("id").to_numpy()[good], side[good], x[good] / norms[good, None]
+                y, mids = x[side == 0], ids[side == 0]
+                x, qids = x[side == 1], ids[side == 1]
+                if not len(x) or not len(y):
+                    continue
+                sims = np.round(x @ y.T, 9)
+                if k < len(y):
+                    r, c = np.nonzero(sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k])
+                else:
+                    r, c = (z.ravel() for z in np.indices(sims.shape))
+                out.append((qids[r], mids[c], sims[r, c]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["qid", "mid", "cosine"])
+
+    parts = left.unionByName(right).repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "side").mapInArrow(run, "qid bigint, mid bigint, cosine double")
+    w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "mid")
+    return parts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(F.col("qid").alias(query_id), F.col("mid").alias(memory_id), "cosine", "rk")
+
+
 def topk_within(pairs: DataFrame, group: list[str], similarity: Column, item: str, k: int) -> DataFrame:
     """Top k of candidates that are already joined, by built-in expressions only."""
     w = Window.partitionBy(*group).orderBy(F.desc("cosine"), item)
@@ -159,4 +213,4 @@ def late_join(scored: DataFrame, shortlist: DataFrame, wide: DataFrame, item: st
     return scored.join(wide.join(shortlist.select(item).distinct(), item, "left_semi"), item)
 
 
-__all__ = ["topk_cosine", "topk_within", "mutual_nearest", "adaptive_cosine", "accepted", "best_per_item", "materialize_cap", "fuse", "fine_rerank", "late_join", "cut"]
+__all__ = ["topk_cosine", "topk_cosine_within", "topk_within", "mutual_nearest", "adaptive_cosine", "accepted", "best_per_item", "materialize_cap", "fuse", "fine_rerank", "late_join", "cut"]

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from waymark.operators.groups import by_key
+
 
 def mutual_pairs(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int, float]]:
     """(i, j, similarity) of rows that are each other's most similar, best first."""
@@ -21,13 +23,12 @@ def mutual_pairs(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int,
 def build_tracks(anchors: DataFrame, least: float, sequence: str = "sequence_id") -> DataFrame:
     """(sequence, track_id, seq, anchor_index, alive): a track goes on while its last anchor has a mutual nearest in the next frame.
 
-    anchors: sequence, seq, anchor_index, desc. An ordered fold over each sequence that holds one frame's
-    descriptors at a time; sequences run in parallel. A frame without anchors ends all tracks.
+    anchors: sequence, seq, anchor_index, desc. An ordered fold over each sequence, whose
+    anchors a task holds together; sequences run in parallel. A frame without anchors ends all tracks.
     """
     kind = dict(anchors.dtypes)[sequence]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("seq", "ascending"), ("anchor_index", "ascending")])
         seqs = table.column("seq").to_numpy()
         index = table.column("anchor_index").to_numpy()
         desc = table.column("desc").to_pylist()
@@ -50,7 +51,7 @@ def build_tracks(anchors: DataFrame, least: float, sequence: str = "sequence_id"
         q = table.column(sequence)[0].as_py()
         return pa.table({sequence: pa.array([q] * len(rows), table.schema.field(sequence).type), "track_id": pa.array([r[0] for r in rows], pa.int64()), "seq": pa.array([r[1] for r in rows], pa.int64()), "anchor_index": pa.array([r[2] for r in rows], pa.int32()), "alive": pa.array(alive)})
 
-    return anchors.select(sequence, "seq", "anchor_index", "desc").groupBy(sequence).applyInArrow(run, f"{sequence} {kind}, track_id bigint, seq bigint, anchor_index int, alive boolean")
+    return anchors.select(sequence, "seq", "anchor_index", "desc").transform(by_key, [sequence], run, f"{sequence} {kind}, track_id bigint, seq bigint, anchor_index int, alive boolean", ["seq", "anchor_index"])
 
 
 def mutual_within(a: DataFrame, b: DataFrame, group: str, left: str, right: str, least: float) -> DataFrame:

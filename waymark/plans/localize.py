@@ -71,9 +71,8 @@ def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates
         top = retrieval.topk_cosine(anchors, "anchor_id", "desc", lms, "point_id", "mu", m.topk, m.dim).drop("rk")
         near = top.join(anchors.select("anchor_id", "query_id", "anchor_idx"), "anchor_id")
     else:
-        pairs = anchors.join(candidates.select("query_id", "point_id").distinct(), "query_id").join(lms.select("point_id", "mu"), "point_id")
-        cos = vec.dot(F.col("desc"), F.col("mu")) / (vec.norm(F.col("desc")) * vec.norm(F.col("mu")))
-        near = retrieval.topk_within(pairs, ["query_id", "anchor_idx"], cos, "point_id", m.topk).select("query_id", "anchor_idx", "anchor_id", "point_id", "cosine")
+        top = retrieval.topk_cosine_within(anchors, "anchor_id", "desc", lms, "point_id", "mu", candidates, "query_id", m.topk, m.dim)
+        near = top.drop("rk").join(anchors.select("anchor_id", "query_id", "anchor_idx"), "anchor_id")
     anchor = ["query_id", "anchor_idx"]
     short = retrieval.materialize_cap(near, ["query_id"], "anchor_idx", "point_id", "cosine", m.per_anchor, m.least_cosine, m.most_loaded)
     passed = near.filter(F.col("cosine") >= m.least_cosine) if m.adaptive_margin is None else retrieval.adaptive_cosine(near, anchor, "cosine", m.least_cosine, m.adaptive_margin).drop("floor")
@@ -146,8 +145,10 @@ def with_prior(matches_of: DataFrame, poses: DataFrame, lms: DataFrame, anchors:
 
     rows = matches_of.join(poses.select("query_id", "T_wc", "camera"), "query_id", "left").join(lms.select("point_id", "x", "y", "z"), "point_id").join(anchors.select("query_id", "anchor_idx", "u", "v"), ["query_id", "anchor_idx"])
     cam = F.col("camera")
-    p = pose.project(F.col("T_wc"), F.array("x", "y", "z"), cam[0], cam[1], cam[2], cam[3])
-    gate = scores.geometry_gate(pose.reprojection_error(p, F.col("u"), F.col("v")), F.coalesce(p["z"] > 1e-6, F.lit(False)), F.col("T_wc").isNotNull(), edge)
+    rows = rows.withColumn("__p", pose.project(F.col("T_wc"), F.array("x", "y", "z"), cam[0], cam[1], cam[2], cam[3]))
+    p = F.col("__p")
+    rows = rows.withColumn("__e", pose.reprojection_error(p, F.col("u"), F.col("v")))
+    gate = scores.geometry_gate(F.col("__e"), F.coalesce(p["z"] > 1e-6, F.lit(False)), F.col("T_wc").isNotNull(), edge)
     return rows.select("query_id", "anchor_idx", "point_id", gate.alias("geometry"))
 
 

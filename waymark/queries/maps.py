@@ -220,14 +220,13 @@ c AS (SELECT anchor_id, landmark_id, list_cosine_similarity(x, y) AS cos FROM g
 SELECT anchor_id, landmark_id, rk::INTEGER AS rk, round(cos, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY round(cos, 9) DESC, landmark_id) AS rk FROM c) z WHERE rk <= 5""",
 )
 def topk_within_images(spark, sf_dir):
-    """Top 5 landmarks of each anchor among those observed in its own image: candidates by join, ranks by built-ins."""
+    """Top 5 landmarks of each anchor among those observed in its own image, block by block."""
     good = lambda c: views.finite(c, 64) & (vec.norm(F.col(c)) > 0)
     a = landmarks.once(table(spark, sf_dir, "anchors"), "anchor_id").filter(good("descriptor")).select("anchor_id", "query_id", F.col("descriptor").alias("x"))
     h = landmarks.once(table(spark, sf_dir, "landmarks"), "landmark_id").filter(good("mu")).select("landmark_id", F.col("mu").alias("y"))
-    s = table(spark, sf_dir, "observations").select(F.col("frame_id").alias("query_id"), "landmark_id").filter("query_id is not null and landmark_id is not null").distinct()
-    pairs = a.join(s, "query_id").join(h, "landmark_id")
-    cos = F.round(vec.dot(F.col("x"), F.col("y")) / (vec.norm(F.col("x")) * vec.norm(F.col("y"))), 9)
-    return retrieval.topk_within(pairs, ["anchor_id"], cos, "landmark_id", 5).select("anchor_id", "landmark_id", "rk", F.round("cosine", 5).alias("cosine"))
+    s = table(spark, sf_dir, "observations").select(F.col("frame_id").alias("query_id"), "landmark_id").filter("query_id is not null and landmark_id is not null")
+    got = retrieval.topk_cosine_within(a, "anchor_id", "x", h, "landmark_id", "y", s, "query_id", 5)
+    return got.select("anchor_id", "landmark_id", "rk", F.round("cosine", 5).alias("cosine"))
 
 
 @query(
