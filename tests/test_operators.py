@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -271,3 +272,14 @@ def test_rounds_that_run_out_lose_no_edge(spark):
     edges = spark.createDataFrame([(q, a, b, 1.0) for q in (1, 2) for a in range(5) for b in range(5)], "q bigint, a bigint, b bigint, s double")
     got = {tuple(r) for r in assign.greedy_rounds(edges, "q", "a", "b", "s", rounds=2).select("q", "a", "b").collect()}
     assert got == {(q, i, i) for q in (1, 2) for i in range(5)}
+
+
+@pytest.mark.parametrize("kind", ["spread", "equal", "two", "skewed"])
+def test_quantiles_narrow_to_the_exact_value(spark, monkeypatch, kind):
+    monkeypatch.setattr(evaluate, "MOST_VALUES", 50)
+    rng = np.random.default_rng(4)
+    x = {"spread": rng.normal(size=5001), "equal": np.full(3000, 2.5), "two": np.repeat([1.0, 7.0], 1500), "skewed": np.concatenate([np.full(4000, 3.0), rng.normal(size=900)])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "v double")
+    shares = [0.0, 0.02, 0.25, 0.5, 0.98, 1.0]
+    assert np.allclose(evaluate.quantiles(df, "v", shares), np.quantile(x, shares), atol=1e-12)
+    assert evaluate.quantiles(df.limit(0), "v", [0.5]) == [None]

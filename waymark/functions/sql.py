@@ -9,50 +9,33 @@ from __future__ import annotations
 
 import os
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import udtf
 
 from waymark.sources import colmap
 
 
-def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cosine of two vectors; null for null, empty, zero or unequally long ones."""
-
-    def one(x, y):
-        if x is None or y is None or len(x) != len(y) or not len(x):
-            return None
-        x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
-        n = np.linalg.norm(x) * np.linalg.norm(y)
-        return float(x @ y / n) if n > 0 else None
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def rotation_error(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Degrees between the rotations of two poses of 16 numbers."""
-
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        x, y = (np.asarray(z, np.float64).reshape(4, 4)[:3, :3] for z in (x, y))
-        return float(np.degrees(np.arccos(np.clip((np.trace(x @ y.T) - 1) / 2, -1, 1))))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def invert_pose(t: pd.Series) -> pd.Series:
-    def one(x):
-        if x is None:
-            return None
-        m = np.asarray(x, np.float64).reshape(4, 4)
-        out = np.eye(4)
-        out[:3, :3], out[:3, 3] = m[:3, :3].T, -m[:3, :3].T @ m[:3, 3]
-        return out.ravel()
-
-    return t.map(one)
+_SUM = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0d, (s, x) -> s + x)"
+_INNER = "(" + " + ".join(f"a[{4 * i + j}] * b[{4 * i + j}]" for i in range(3) for j in range(3)) + ")"
+_MOVED = [f"-(t[{i}] * t[3] + t[{4 + i}] * t[7] + t[{8 + i}] * t[11])" for i in range(3)]
+
+#: SQL functions over built-in expressions: name -> (parameters, type, body).
+FUNCTIONS = {
+    # null for null, empty, zero or unequally long vectors
+    "wm_cosine": (
+        "a array<double>, b array<double>",
+        "double",
+        f"case when size(a) = size(b) and size(a) > 0 then {_SUM.format('a', 'b')} / nullif(sqrt({_SUM.format('a', 'a')}) * sqrt({_SUM.format('b', 'b')}), 0d) end",
+    ),
+    # degrees between the rotations of two poses of 16 numbers
+    "wm_rotation_error": ("a array<double>, b array<double>", "double", f"case when a is not null and b is not null then degrees(acos(greatest(-1d, least(1d, ({_INNER} - 1) / 2)))) end"),
+    "wm_invert_pose": (
+        "t array<double>",
+        "array<double>",
+        "case when t is not null then array(" + ", ".join(f"t[{i}], t[{4 + i}], t[{8 + i}], {_MOVED[i]}" for i in range(3)) + ", 0d, 0d, 0d, 1d) end",
+    ),
+}
 
 
 class RetrievalLine:
@@ -109,7 +92,7 @@ class ColmapSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for name, f, kind in (("wm_cosine", cosine, "double"), ("wm_rotation_error", rotation_error, "double"), ("wm_invert_pose", invert_pose, "array<double>")):
-        spark.udf.register(name, pandas_udf(f, kind))
+    for name, (parameters, kind, body) in FUNCTIONS.items():
+        spark.sql(f"create or replace temporary function {name}({parameters}) returns {kind} return {body}")
     spark.udtf.register("wm_retrieval_line", udtf(RetrievalLine, returnType="query_name string, db_name string, pos int"))
     spark.dataSource.register(ColmapSource)

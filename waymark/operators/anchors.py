@@ -149,24 +149,31 @@ def gaussian(size: int, sigma: float) -> np.ndarray:
 
 
 def perturb(image: np.ndarray) -> list[np.ndarray]:
-    """The two changed versions used for stability: gamma 1.15, and a 5x5 blur of sigma 0.8. Image: 8-bit."""
+    """The two changed versions used for stability: gamma 1.15, and a 5x5 blur of sigma 0.8 (fixed values). Image: 8-bit."""
     table = np.clip(np.round((np.arange(256) / 255.0) ** 1.15 * 255), 0, 255).astype(np.uint8)
     blurred = np.clip(np.round(filtered(image.astype(float), gaussian(5, 0.8))), 0, 255).astype(np.uint8)
     return [table[image], blurred]
 
 
+# The 3 x 3 blur, the gradient kernel and the grey weights (of 2^14) of common image libraries.
+BLUR = np.outer([0.25, 0.5, 0.25], [0.25, 0.5, 0.25])
+SOBEL = np.array([[-1.0, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+GREY = np.array([4899, 9617, 1868])
+
+
 def gradient_tokens(image: np.ndarray, grid: tuple[int, int] = (24, 24), dim: int = 128, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
     """Descriptors (h, w, dim) and centres (h, w, 2) of a simple extractor for tests.
 
-    Colour, blurred colour, grey value and its two gradients of the image shrunk to the grid, through a fixed random projection.
+    Colour, blurred colour, grey value (of bytes) and its two gradients of the image shrunk to the grid, through a
+    fixed random projection whose columns have length 1.
     """
     h, w = grid
     small = _resize(image.astype(np.float64) / 255.0, h, w)
-    blurred = filtered(small, np.full((3, 3), 1 / 9))
-    grey = (small @ np.array([0.299, 0.587, 0.114]))[..., None]
-    sobel = np.array([[-1.0, 0, 1], [-2, 0, 2], [-1, 0, 1]])
-    features = np.concatenate([small, blurred, grey, filtered(grey, sobel), filtered(grey, sobel.T)], axis=2)
-    out = features @ np.random.default_rng(seed).standard_normal((features.shape[2], dim))
+    blurred = filtered(small, BLUR)
+    grey = ((((small * 255.0).astype(np.uint8).astype(np.int64) @ GREY) + (1 << 13)) >> 14)[..., None] / 255.0
+    features = np.concatenate([small, blurred, grey, filtered(grey, SOBEL), filtered(grey, SOBEL.T)], axis=2)
+    projection = np.random.default_rng(seed).standard_normal((features.shape[2], dim), dtype=np.float32)
+    out = features @ (projection / (np.linalg.norm(projection, axis=0, keepdims=True) + 1e-8))
     out /= np.linalg.norm(out, axis=2, keepdims=True) + 1e-8
     xs, ys = np.linspace(0, image.shape[1] - 1, w), np.linspace(0, image.shape[0] - 1, h)
     return out.astype(np.float32), np.stack(np.meshgrid(xs, ys), axis=2).astype(np.float32)

@@ -75,14 +75,65 @@ def totals(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"))
 
 
+MOST_VALUES = 100_000  # different ones that come to the driver to find a quantile among them
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of a whole table, interpolated between neighbours; None without values. Nulls take no part.
+
+    Approximate quantiles on either side of the wanted rank bound a slice of the values; the slice is narrowed until it
+    is small, and only that is sorted. So no task holds the table's values, and the result doesn't hang on the approximation.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+
+    def around(rank: int) -> tuple[list[tuple[float, int]], int]:
+        """Values in order with their counts, among them those of this rank and the next, and how many there are below them."""
+        part, below, size, step, flat = values, 0, n, 0.001, False
+        while True:
+            if size <= 20 * MOST_VALUES or flat:
+                got = part.groupBy("v").agg(F.count("*").alias("c")).limit(MOST_VALUES + 1).collect()
+                if len(got) <= MOST_VALUES:
+                    return sorted((r["v"], r["c"]) for r in got), below
+            at = (rank - below) / size
+            a, b = part.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, at - step)), F.lit(min(1.0, at + 2 / size + step))), F.lit(10_000))).first()[0]
+            under, inside = values.agg(F.count_if(F.col("v") < a), F.count_if((F.col("v") >= a) & (F.col("v") <= b))).first()
+            if under <= rank and under + inside >= min(rank + 2, n):
+                flat = a == b or inside >= size  # perhaps few values, but very many of each
+                step = step / 4 if inside >= size else step
+                part, below, size = values.filter((F.col("v") >= a) & (F.col("v") <= b)), under, inside
+            else:
+                step *= 4  # the approximation was off by more
+
+    def value(got: list[tuple[float, int]], place: int) -> float:
+        for v, c in got:
+            if place < c:
+                return v
+            place -= c
+        return got[-1][0]
+
+    out = []
+    for q in shares:
+        place = q * (n - 1)
+        rank = min(int(place), n - 1)
+        got, below = around(rank)
+        first, second = value(got, rank - below), value(got, rank + 1 - below)
+        out.append(first if rank == place else (rank + 1 - place) * first + (place - rank) * second)
+    return out
+
+
 def trim(rows: DataFrame, columns: list[str], low: float, high: float, pad: float = 0.02, least: float = 1e-3) -> DataFrame:
     """Rows inside the box between two percentiles of each column, padded by a share of its extent (at least `least`)."""
-    box = rows.agg(*[x for c in columns for x in (F.percentile(c, low).alias(f"lo_{c}"), F.percentile(c, high).alias(f"hi_{c}"))])  # one row
-    joined = rows.crossJoin(F.broadcast(box))  # with a single row
+    out = rows
     for c in columns:
-        extra = F.greatest((F.col(f"hi_{c}") - F.col(f"lo_{c}")) * pad, F.lit(least))
-        joined = joined.filter((F.col(c) >= F.col(f"lo_{c}") - extra) & (F.col(c) <= F.col(f"hi_{c}") + extra))
-    return joined.select(*rows.columns)
+        a, b = quantiles(rows, c, [low, high])
+        if a is None:
+            return rows.limit(0)
+        extra = max((b - a) * pad, least)
+        out = out.filter((F.col(c) >= a - extra) & (F.col(c) <= b + extra))
+    return out
 
 
 def cubic_bounds(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,7 +144,8 @@ def cubic_bounds(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def map_stats(landmarks: DataFrame) -> DataFrame:
-    return landmarks.agg(F.count("*").alias("n_landmarks"), F.round(F.avg("staticness"), 6).alias("mean_static"), F.round(F.median("staticness"), 6).alias("median_static"), F.round(F.avg("n_obs"), 6).alias("mean_obs"))
+    middle = F.lit(quantiles(landmarks, "staticness", [0.5])[0]).cast("double")
+    return landmarks.agg(F.count("*").alias("n_landmarks"), F.round(F.avg("staticness"), 6).alias("mean_static"), F.round(middle, 6).alias("median_static"), F.round(F.avg("n_obs"), 6).alias("mean_obs"))
 
 
 def sampled(rows: DataFrame, most: int, id_: str, seed: int = 0) -> DataFrame:

@@ -101,6 +101,8 @@ def new_state(spark: SparkSession, rows: int = 0) -> State:
 def _hot(refs: DataFrame) -> dict[tuple[int, int], int]:
     """Salts of the keys with very many references; fewer than HOT_KEYS keys, as each has more than one HOT_KEYS-th of all."""
     counts = refs.groupBy("field", "target").count()
+    if counts.filter(F.col("count") > HOT_ROWS).isEmpty():
+        return {}
     most = max(HOT_ROWS, refs.count() // HOT_KEYS)
     return {(r["field"], r["target"]): -(-r["count"] // most) for r in counts.filter(F.col("count") > most).collect()}
 

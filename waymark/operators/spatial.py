@@ -1,7 +1,8 @@
 """Joins by time and by place: buckets turn them into equality joins.
 
-Each left row looks into the buckets its tolerance can reach, so right rows are
-met through a hash join on (group, bucket). Null keys and coordinates take no part.
+By place, a left row looks into the cells its radius can reach and meets right rows
+through a hash join. By time, rows of a bucket are scanned in order, so however many
+fall together no pairs are made. Null keys and coordinates take no part.
 """
 
 from __future__ import annotations
@@ -17,11 +18,19 @@ def nearest_time(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     """
     keys = [group] if group else []
     width = max(1, tolerance)
-    a = left.filter("t is not null").select(*keys, F.col(left_id).alias("a"), F.col("t").alias("ta"), F.explode(F.expr(f"sequence(floor((t - {tolerance}) / {width}), floor((t + {tolerance}) / {width}))")).alias("b"))
-    r = right.filter("t is not null").select(*keys, F.col(right_id).alias("r"), F.col("t").alias("tr"), F.floor(F.col("t") / width).alias("b"))
-    close = a.join(r, [*keys, "b"]).filter(F.abs(F.col("ta") - F.col("tr")) <= tolerance)
-    best = close.groupBy(*keys, "a").agg(F.min(F.struct(F.abs(F.col("ta") - F.col("tr")).alias("dt"), "tr", "r")).alias("m"))
-    found = best.select(*keys, F.col("a").alias(left_id), F.col("m.r").alias(right_id), F.col("m.dt").alias("dt"))
+    bucket = F.floor(F.col("t") / width).alias("b")
+    rows = right.filter(F.col("t").isNotNull() & F.col(right_id).isNotNull()).groupBy(*keys, "t").agg(F.min(right_id).alias("r")).select(*keys, "t", bucket, F.struct("t", "r").alias("s"))
+    ask = left.filter(F.col("t").isNotNull()).select(*keys, "t", bucket, F.col(left_id).alias("a"))
+    # Inside a bucket a sorted scan; of the neighbouring buckets only the last and the first record can be nearest.
+    both = ask.withColumn("s", F.lit(None).cast(rows.schema["s"].dataType)).withColumn("asks", F.lit(True)).unionByName(rows.withColumns({"a": F.lit(None).cast(ask.schema["a"].dataType), "asks": F.lit(False)}))
+    w = Window.partitionBy(*keys, "b").orderBy("t")
+    inside = both.withColumns({"before": F.max("s").over(w.rangeBetween(Window.unboundedPreceding, 0)), "after": F.min("s").over(w.rangeBetween(0, Window.unboundedFollowing))}).filter("asks")
+    ends = rows.groupBy(*keys, "b").agg(F.max("s").alias("last"), F.min("s").alias("first"))
+    on = [*keys, "b"]
+    near = inside.join(ends.select(*keys, (F.col("b") + 1).alias("b"), "last"), on, "left").join(ends.select(*keys, (F.col("b") - 1).alias("b"), "first"), on, "left")
+    told = lambda c: F.when(F.abs(F.col("t") - F.col(f"{c}.t")) <= tolerance, F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("dt"), F.col(f"{c}.t").alias("tr"), F.col(f"{c}.r").alias("r")))
+    best = near.withColumn("m", F.least(*map(told, ("before", "after", "last", "first")))).filter("m is not null")
+    found = best.groupBy(*keys, "a").agg(F.min("m").alias("m")).select(*keys, F.col("a").alias(left_id), F.col("m.r").alias(right_id), F.col("m.dt").alias("dt"))
     return left.select(*keys, left_id).join(found, [*keys, left_id], "left") if keep_left else found
 
 

@@ -163,7 +163,21 @@ def view_envelope(spark, sf_dir):
     return box.select("point3d_id", r(F.col("min_cos"), 5).alias("min_cos"), r(F.col("max_cos"), 5).alias("max_cos"))
 
 
-@query("bounded_diverse_obs")
+def _angle(x: str, y: str) -> str:
+    return f"degrees(acos(greatest(-1, least(1, {x}.a*{y}.a + {x}.b*{y}.b + {x}.c*{y}.c))))"
+
+
+@query(
+    "bounded_diverse_obs",
+    _VIEWS.replace("WITH img0", "WITH RECURSIVE img0", 1)
+    + f""", vw AS (SELECT point3d_id AS p, row_number() OVER (PARTITION BY point3d_id ORDER BY image_id) AS n, {{'i': image_id, 'a': a, 'b': b, 'c': c}} AS v FROM d),
+bd(p, n, kept) AS (SELECT p, n, [v] FROM vw WHERE n = 1
+  UNION ALL SELECT bd.p, vw.n, CASE WHEN len(kept) < 3 THEN list_append(kept, v)
+      WHEN least({_angle("kept[1]", "v")}, {_angle("kept[2]", "v")}, {_angle("kept[3]", "v")}) > least({_angle("kept[1]", "kept[2]")}, {_angle("kept[1]", "kept[3]")}, {_angle("kept[2]", "kept[3]")}) + 1
+      THEN CASE WHEN least({_angle("kept[1]", "kept[2]")}, {_angle("kept[1]", "kept[3]")}) <= {_angle("kept[2]", "kept[3]")} THEN [v, kept[2], kept[3]] ELSE [kept[1], v, kept[3]] END ELSE kept END
+    FROM bd JOIN vw ON vw.p = bd.p AND vw.n = bd.n + 1)
+SELECT p AS point3d_id, unnest(arg_max(kept, n)).i AS image_id FROM bd GROUP BY 1""",
+)
 def bounded_diverse_obs(spark, sf_dir):
     seen = landmarks.track_views(table(spark, sf_dir, "points3d"), table(spark, sf_dir, "images"))
     return landmarks.bounded_views(seen, 3).select("point3d_id", "image_id")

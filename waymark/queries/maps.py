@@ -367,7 +367,17 @@ def candidate_budget(spark, sf_dir):
     return candidates.budgets(expanded(spark, sf_dir), 60, 20).withColumn("rnk", F.col("rnk").cast("int"))
 
 
-@query("covisibility_groups")
+@query(
+    "covisibility_groups",
+    _EXPANDED.replace("WITH v_idx", "WITH RECURSIVE v_idx", 1)
+    + """, se AS (SELECT query_id AS q, rnk, frame_id AS f, list(lm_idx) AS lms FROM x GROUP BY 1, 2, 3),
+fi AS (SELECT q, list(rnk ORDER BY rnk) AS rest FROM se GROUP BY 1),
+st(q, grp, place, rest, un, f) AS (SELECT fi.q, 0, 0, rest[2:], lms, f FROM fi JOIN se ON se.q = fi.q AND se.rnk = rest[1]
+  UNION ALL SELECT q, CASE WHEN place = 4 THEN grp + 1 ELSE grp END, CASE WHEN place = 4 THEN 0 ELSE place + 1 END, list_filter(rest, lambda v: v <> rnk), CASE WHEN place = 4 THEN lms ELSE list_distinct(list_concat(un, lms)) END, f2
+    FROM (SELECT st.q, grp, place, rest, un, se.rnk, se.lms, se.f AS f2, row_number() OVER (PARTITION BY st.q ORDER BY CASE WHEN place = 4 THEN 0 ELSE len(list_intersect(lms, un)) END DESC, se.rnk) AS k
+      FROM st JOIN se ON se.q = st.q AND list_contains(st.rest, se.rnk)) z WHERE k = 1)
+SELECT q AS query_id, f AS frame_id, grp AS group_no, place FROM st""",
+)
 def covisibility_groups(spark, sf_dir):
     return candidates.covisibility_groups(expanded(spark, sf_dir), 5)
 

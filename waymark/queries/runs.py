@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.catalog import query
+from waymark.functions import vec
 from waymark.operators import anchors as tokens_
 from waymark.operators import evaluate, landmarks, pnp, spatial, tracks
 from waymark.queries import views
@@ -333,39 +334,63 @@ def pnp_pose(spark, sf_dir):
     return got.select("query_id", "success", *[(F.round(F.col("T_wc")[4 * i + 3], 4) + 0.0).alias(n) for i, n in enumerate("xyz")])
 
 
-@query("pnp_thresholds")
+@query("pnp_thresholds", "WITH f AS (SELECT DISTINCT vec_id // 50 AS f FROM embeddings), p AS (SELECT DISTINCT vec_id % 50 AS p FROM embeddings) SELECT f AS query_id, e AS error_px, true AS success, count(*) FILTER (e > 20 OR p % 5 <> 4)::INTEGER AS num_inliers FROM f, p, (SELECT unnest([2.0::DOUBLE, 8.0::DOUBLE, 60.0::DOUBLE]) AS e) t GROUP BY 1, 2")
 def pnp_thresholds(spark, sf_dir):
     _, matches = _scene(spark, sf_dir)
     return pnp.solve_poses(matches, thresholds=[2.0, 8.0, 60.0]).select("query_id", "error_px", "success", "num_inliers")
 
 
 def online_frames(spark, sf_dir):
-    """Frames of a synthetic walk past fixed points, two sequences; descriptors are embeddings."""
+    """Frames of a synthetic walk past fixed points, two sequences; a point's descriptor is the mean of its embeddings. A fifth of the pixels are wrong and have no depth."""
     frames, matches = _scene(spark, sf_dir)
-    desc = table(spark, sf_dir, "embeddings").filter("vec_id < 50").selectExpr("vec_id as point_id", "cast(embedding as array<double>) as d")
-    good = matches.filter("point_id % 5 <> 4").join(desc, "point_id")
-    rows = good.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("point_id", F.array("u", "v").alias("uv"), F.col("zc").alias("z"), "d", "camera"))).alias("k"))
+    desc = landmarks.mean_vectors(table(spark, sf_dir, "embeddings").withColumn("point_id", F.expr("vec_id % 50")), "point_id", "embedding").withColumnRenamed("mu", "d")
+    good = matches.join(desc, "point_id")
+    rows = good.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("point_id", F.array("u", "v").alias("uv"), F.expr("if(point_id % 5 = 4, double('nan'), zc)").alias("z"), "d", "camera"))).alias("k"))
     rows = rows.join(frames, "query_id")
     gt = F.expr("array(c, 0d, s, cast(tx as double), 0d, 1d, 0d, cast(ty as double), -s, 0d, c, tz, 0d, 0d, 0d, 1d)")
     return rows.select((F.col("query_id") % 2).alias("sequence_id"), F.expr("query_id div 2").alias("seq"), F.col("k.uv").alias("uv"), F.col("k.z").alias("z"), F.col("k.d").alias("desc"), F.col("k.camera")[0].alias("camera"), gt.alias("gt"))
 
 
-@query("online_sequence_batch")
+_WALK = """
+WITH f AS (SELECT vec_id // 50 AS f, count(DISTINCT vec_id % 50) AS n FROM embeddings GROUP BY 1),
+w AS (SELECT f % 2 AS sequence_id, f // 2 AS seq, CASE WHEN row_number() OVER (PARTITION BY f % 2 ORDER BY f) <= 2 THEN 'bootstrap' ELSE 'online' END AS mode, (SELECT count(DISTINCT vec_id % 50) FILTER (vec_id % 5 <> 4) FROM embeddings) AS n, (f * 3 - 15) / 10 AS x, (f % 3 - 1) / 10 AS y FROM f)
+"""
+
+
+@query("online_sequence_batch", _WALK + "SELECT sequence_id, seq, mode, true AS success, n::INTEGER AS num_integrated, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM w")
 def online_sequence_batch(spark, sf_dir):
-    got = online.run_batch(online_frames(spark, sf_dir), online.Online(bootstrap=2))
-    return got.select("sequence_id", "seq", "mode", "success", "num_matches", "num_inliers", "num_candidates", "num_integrated", F.round(F.col("T_wc")[3], 4).alias("x"))
+    """The walk localized against its growing memory, without and with the last pose as prior (the same places); the SQL is the true walk."""
+    frames = online_frames(spark, sf_dir)
+    place = lambda df: df.select("sequence_id", "seq", "mode", "success", "num_integrated", (F.round(F.col("T_wc")[3], 3) + 0.0).alias("x"), (F.round(F.col("T_wc")[7], 3) + 0.0).alias("y"))
+    plain = place(online.run_batch(frames, online.Online(bootstrap=2)))
+    prior = place(online.run_batch(frames, online.Online(bootstrap=2, use_prior=True, prior_edge=200.0)))
+    return plain.join(prior, plain.columns)
 
 
-@query("online_metrics")
+@query("online_metrics", _WALK + "SELECT sequence_id, count(*) AS num_queries, count(*) AS num_success, 1.0::DOUBLE AS success_rate, 0.0::DOUBLE AS mean_trans_err_m, 0.0::DOUBLE AS median_trans_err_m, 0.0::DOUBLE AS ate, 0.0::DOUBLE AS trans_rmse FROM w GROUP BY 1")
 def online_metrics(spark, sf_dir):
     """Summary of the online runs: success, trajectory error over bootstrapped and localized frames."""
     frames = online_frames(spark, sf_dir)
     rows = online.run_batch(frames, online.Online(bootstrap=2)).join(frames.select("sequence_id", "seq", "gt"), ["sequence_id", "seq"])
     done = evaluate.errors(rows, "T_wc", "gt")
-    return evaluate.summary(done, ["sequence_id"], "success", ["trans_err_m"]).join(evaluate.ate_of_poses(rows, ["sequence_id"], "T_wc", "gt"), "sequence_id")
+    told = evaluate.summary(done, ["sequence_id"], "success", ["trans_err_m"]).join(evaluate.ate_of_poses(rows, ["sequence_id"], "T_wc", "gt"), "sequence_id")
+    steps = evaluate.rpe(rows, ["sequence_id"], ["seq"], "T_wc", "gt").select("sequence_id", "trans_rmse")
+    whole = lambda c: F.round(c, 3).alias(c)
+    return told.join(steps, "sequence_id").select("sequence_id", "num_queries", "num_success", "success_rate", *map(whole, ("mean_trans_err_m", "median_trans_err_m", "ate", "trans_rmse")))
 
 
-@query("anchor_tracks")
+@query(
+    "anchor_tracks",
+    """
+WITH RECURSIVE a0 AS (SELECT anchor_id, any_value(query_id) AS q, any_value(anchor_index) AS i, any_value(descriptor)::DOUBLE[] AS d FROM anchors WHERE anchor_id IS NOT NULL GROUP BY 1),
+a AS (SELECT q % 4 AS s, q // 4 AS t, i, d FROM a0 WHERE len(d) = 64 AND len(list_filter(d, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+p AS (SELECT x.s, x.t, x.i, y.i AS j, list_inner_product(x.d, y.d) AS k FROM a x JOIN a y ON x.s = y.s AND y.t = x.t + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, t, i ORDER BY k DESC, j) AS f, row_number() OVER (PARTITION BY s, t, j ORDER BY k DESC, i) AS g FROM p),
+l AS (SELECT s, t, i, j FROM r WHERE f = 1 AND g = 1 AND k >= 0.8::DOUBLE),
+w(s, t, i, rt, ri) AS (SELECT s, t, i, t, i FROM a WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.s = a.s AND l.t + 1 = a.t AND l.j = a.i)
+  UNION ALL SELECT w.s, w.t + 1, l.j, rt, ri FROM w JOIN l ON w.s = l.s AND w.t = l.t AND w.i = l.i)
+SELECT s AS sequence_id, dense_rank() OVER (PARTITION BY s ORDER BY rt, ri) - 1 AS track_id, t AS seq, i AS anchor_index, max(t) OVER (PARTITION BY s, rt, ri) = max(t) OVER (PARTITION BY s) AS alive FROM w""",
+)
 def anchor_tracks(spark, sf_dir):
     """Chains of mutual nearest anchors over consecutive queries."""
     a = landmarks.once(table(spark, sf_dir, "anchors"), "anchor_id").filter(views.finite("descriptor", 64))
@@ -373,10 +398,10 @@ def anchor_tracks(spark, sf_dir):
     return tracks.build_tracks(rows, 0.8)
 
 
-@query("scene_grids")
+@query("scene_grids", "SELECT 'r' || r_regionkey AS image_id, r::INTEGER AS r, c::INTEGER AS c, round(c * 47 / 5::DOUBLE, 3)::FLOAT AS x, round(r * 31 / 3::DOUBLE, 3)::FLOAT AS y, 16 AS dim, 1.0::DOUBLE AS length FROM region, range(4) t(r), range(6) u(c)")
 def scene_grids(spark, sf_dir):
     """Tokens of the built-in extractor on generated images."""
     images = table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) as image_id", "32 as height", "48 as width", "r_regionkey as k")
     pixels = images.select("image_id", "height", "width", F.expr("to_binary(repeat(lpad(hex(cast((k * 37 + 11) % 200 as int)), 6, '3C7F10'), 1536), 'hex')").alias("data"))
     got = tokens_.extract_tokens(pixels, lambda im: tokens_.gradient_tokens(im, (4, 6), 16))
-    return got.select("image_id", "r", "c", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.size("desc").alias("dim"))
+    return got.select("image_id", "r", "c", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.size("desc").alias("dim"), F.round(vec.norm(F.col("desc")), 4).alias("length"))
