@@ -1,10 +1,11 @@
 """Encoding a corpus with a public byte-level BPE tokenizer (problem 7).
 
 Per-prefix dynamic programming. For every prefix of a piece of text there is
-exactly one token that ends it in the tokenizer's own encoding. A suffix
-automaton over the vocabulary gives the tokens that end at a position; the one
-that is right is the one that is compatible with the last token of the prefix
-before it. Two tokens are compatible if the merge rules, applied to their
+exactly one token that ends it in the tokenizer's own encoding. An automaton
+over the vocabulary gives the tokens that end at a position: an Aho-Corasick
+automaton, whose suffix links lead from the longest such token to all shorter
+ones, which are the matches a suffix automaton would give. The right one is the
+one that is compatible with the last token of the prefix before it. Two tokens are compatible if the merge rules, applied to their
 joined bytes, would keep the boundary between them: unmerging both sides step
 by step, no merge across the boundary may come before the merges that built the
 two tokens. The last tokens of all prefixes are kept; following them back from
@@ -129,6 +130,8 @@ class Encoder:
                 last[end], size[end] = token, length
         ids, at = [], n - 1
         while at >= 0:
+            if last[at] < 0:
+                raise ValueError(f"the vocabulary has no token that ends at byte {at} of {piece!r}")
             ids.append(last[at])
             at -= size[at]
         ids.reverse()
