@@ -10,7 +10,7 @@ from waymark.operators import landmarks, pnp
 from waymark.plans import localize
 from waymark.queries import maps, runs, views
 from waymark.queries.views import IMAGES_SQL, MATCHES_SQL
-from waymark.tables import table
+from waymark.tables import cut, table
 
 
 def r6(c):
@@ -164,9 +164,10 @@ def _described_scene(spark, sf_dir):
     _, seen = runs._scene(spark, sf_dir)
     lms, _ = maps.memory(spark, sf_dir)
     places = seen.groupBy("point_id").agg(*[F.first(c).cast("double").alias(c) for c in "xyz"])
-    lms = lms.join(places, "point_id").select("point_id", "mu", "staticness", "n_obs", "x", "y", "z")
+    lms = cut(lms.join(places, "point_id").select("point_id", "mu", "staticness", "n_obs", "x", "y", "z"))  # read many times, as are the anchors
     anchors = seen.join(lms.select("point_id", F.col("mu").alias("desc")), "point_id").selectExpr("query_id * 1000 + point_id as anchor_id", "query_id", "cast(point_id as int) as anchor_idx", "desc", "u", "v", "camera")
-    return anchors, lms, anchors.groupBy("query_id").agg(F.first("camera").alias("camera"))
+    anchors = cut(anchors)
+    return anchors, lms, cut(anchors.groupBy("query_id").agg(F.first("camera").alias("camera")))
 
 
 _SEEN_SQL = """

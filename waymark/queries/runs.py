@@ -218,8 +218,9 @@ def active_pairs(spark, sf_dir):
     "pose_lines",
     IMAGES_SQL.rstrip()
     + """,
-ln AS (SELECT image_id, sqrt(greatest(0, 1+r00+r11+r22)) / 2 AS w, sqrt(greatest(0, 1+r00-r11-r22)) / 2 * CASE WHEN r21 < r12 THEN -1 ELSE 1 END AS x, sqrt(greatest(0, 1-r00+r11-r22)) / 2 * CASE WHEN r02 < r20 THEN -1 ELSE 1 END AS y,
-  sqrt(greatest(0, 1-r00-r11+r22)) / 2 * CASE WHEN r10 < r01 THEN -1 ELSE 1 END AS z, -(r00*cx+r01*cy+r02*cz) AS t0, -(r10*cx+r11*cy+r12*cz) AS t1, -(r20*cx+r21*cy+r22*cz) AS t2 FROM img)
+ln0 AS (SELECT image_id, sqrt(greatest(0, 1+r00+r11+r22)) / 2 AS w, sqrt(greatest(0, 1+r00-r11-r22)) / 2 * CASE WHEN r21 < r12 THEN -1 ELSE 1 END AS x, sqrt(greatest(0, 1-r00+r11-r22)) / 2 * CASE WHEN r02 < r20 THEN -1 ELSE 1 END AS y,
+  sqrt(greatest(0, 1-r00-r11+r22)) / 2 * CASE WHEN r10 < r01 THEN -1 ELSE 1 END AS z, -(r00*cx+r01*cy+r02*cz) AS t0, -(r10*cx+r11*cy+r12*cz) AS t1, -(r20*cx+r21*cy+r22*cz) AS t2 FROM img),
+ln AS (SELECT image_id, round(w, 8) AS w, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z, round(t0, 8) AS t0, round(t1, 8) AS t1, round(t2, 8) AS t2 FROM ln0)
 SELECT 'img' || image_id AS name, round(-((1-2*y*y-2*z*z)*t0 + (2*x*y+2*w*z)*t1 + (2*z*x-2*w*y)*t2), 4) + 0.0 AS cx, round(-((2*x*y-2*w*z)*t0 + (1-2*x*x-2*z*z)*t1 + (2*y*z+2*w*x)*t2), 4) + 0.0 AS cy,
  round(-((2*z*x+2*w*y)*t0 + (2*y*z-2*w*x)*t1 + (1-2*x*x-2*y*y)*t2), 4) + 0.0 AS cz FROM ln""",
 )
