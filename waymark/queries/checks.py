@@ -75,6 +75,29 @@ def valid_depths(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pose.valid_depth(z).alias("ok"))
 
 
+@query("ppca_checks", "SELECT DISTINCT vec_id % 50 AS point_id, true AS orthonormal, true AS principal, true AS ordered FROM embeddings")
+def ppca_checks(spark, sf_dir):
+    """What must hold of every landmark's subspace: orthonormal directions that the scatter of its descriptors maps to
+    their variances' multiples, the greatest variances first, and none below the mean of what is left."""
+    e = views.obs(spark, sf_dir).select("point_id", "vec_id", "d")
+    s = cut(landmarks.subspaces(e, "point_id", "d", 2, order="vec_id"))
+    z = F.zip_with("d", "mu", lambda a, b: a - b)
+    rows = e.join(s, "point_id").select("point_id", "n_obs", z.alias("z"), "basis", "eigvals")
+    rows = rows.select("point_id", "n_obs", "z", F.posexplode("basis").alias("k", "u"), "eigvals").withColumn("c", vec.dot(F.col("u"), F.col("z")))
+    parts = rows.select("point_id", "k", "n_obs", F.col("eigvals")[F.col("k")].alias("value"), "c", F.posexplode(F.arrays_zip("z", "u")).alias("i", "p"))
+    moved = parts.groupBy("point_id", "k", "i").agg((F.sum(F.col("c") * F.col("p.z")) / (F.first("n_obs") - 1) - F.first("value") * F.first("p.u")).alias("off"))
+    off = moved.groupBy("point_id").agg(F.max(F.abs("off")).alias("off"))
+    u, v = F.col("basis")[0], F.col("basis")[1]
+    near = lambda x, want: F.abs(x - want) < 1e-9
+    rest = F.col("sigma_perp2") * F.col("n_obs") / (F.col("n_obs") - 1)
+    return s.join(off, "point_id").select(
+        "point_id",
+        (near(vec.dot(u, u), 1.0) & near(vec.dot(v, v), 1.0) & near(vec.dot(u, v), 0.0)).alias("orthonormal"),
+        (F.col("off") < 1e-9).alias("principal"),
+        ((F.col("eigvals")[0] >= F.col("eigvals")[1]) & (F.col("eigvals")[1] >= rest - 1e-12)).alias("ordered"),
+    )
+
+
 # --- lookups and merging -----------------------------------------------------
 
 
