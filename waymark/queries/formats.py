@@ -175,7 +175,8 @@ _POSES16 = "WITH s AS (SELECT record_id, any_value(pose) AS p FROM sensor_record
 def matrix_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "sensor_records").filter("record_id is not null and pose is not null").dropDuplicates(["record_id"])
     texts = rows.select(F.col("record_id").cast("string").alias("file"), F.array_join(F.transform("pose", lambda x: x.cast("string")), "\n", "null").alias("value"))
-    return lists.matrices(texts).select(F.col("file").cast("bigint").alias("record_id"), "m")
+    m = F.transform("m", lambda x: x + 0.0)  # the SQL's any_value knows no negative zero
+    return lists.matrices(texts).select(F.col("file").cast("bigint").alias("record_id"), m.alias("m"))
 
 
 @query("intrinsics_texts", IMAGES_SQL + "SELECT camera_id, fx, fy, px AS cx, py AS cy FROM intr WHERE fx IS NOT NULL AND fy IS NOT NULL AND px IS NOT NULL AND py IS NOT NULL")
