@@ -95,3 +95,27 @@ def test_buckets_of_a_large_pattern(spark, monkeypatch):
     monkeypatch.setattr(mixing, "TEXTS_OF_BUCKET", 8)
     got, _ = result(spark, d, mix)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_text_counts_for_all_its_sources_however_many_patterns(spark, monkeypatch):
+    """More combinations than are broadcast: what every source has and gets is the same."""
+    shared = [(8000 + 10 * i + j, f"text {i} that several sources have " * 3, s, 0, "") for i in range(40) for j, s in enumerate("abcd") if (i >> j) & 1]
+    d = docs(spark, [("a", 20), ("b", 20), ("c", 5)], shared)
+    mix = [(s, 0.25, 2) for s in "abcd"]
+    want = result(spark, d, mix)
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    got = result(spark, d, mix)
+    assert got[1] == want[1] and sorted(map(tuple, got[0])) == sorted(map(tuple, want[0]))
+    assert got[1]["d"].available_tokens == sum(r.n_tokens for r in mixing._units(d, spark.createDataFrame([(*m, 0) for m in mix], MIX), mixing.TOKENIZERS, "byte_bpe_50k", 11).filter("pattern like '%\"d\"%'").collect())
+
+
+def test_flow_over_ten_thousand_patterns():
+    """14 sources in 10,000 combinations: quotas are met as far as a cut allows, within seconds."""
+    names = [chr(97 + i) for i in range(14)]
+    patterns = {f"{n:05}": ([s for i, s in enumerate(names) if n >> i & 1], 1 + n % 97) for n in range(1, 10_001)}
+    repeats = {s: 1 + i % 3 for i, s in enumerate(names)}
+    shares = dict.fromkeys(names, 1 / 14)
+    total = best_total(patterns, shares, repeats)
+    got = allocate(patterns, {s: int(total / 14) for s in names}, repeats)
+    assert sum(b - a for *_, a, b in got) == 14 * int(total / 14)
+    assert all(r <= repeats[s] and s in patterns[p][0] and 0 <= a < b <= patterns[p][1] for p, r, s, a, b in got)

@@ -25,69 +25,82 @@ Defined results
 * copies of a text are one document, which a source knows by its smallest id there; so no copy can be used beyond the cap.
 * null or non-positive shares or repeats give a quota of 0.
 * a source without texts gets nothing and is reported as not met; an empty table gives an empty mix.
-* of texts in very many combinations of sources (more than MOST_PATTERNS patterns), the rarer patterns count for one of their sources each, dealt by hash.
+* a text counts for all of its sources, however many combinations of sources there are; their network comes to the driver, a row per pattern.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.bpe import TOKENIZERS, count_tokens
 from waymark.tables import cut
 
 TEXTS_OF_BUCKET = 2048
-MOST_PATTERNS = 4096  # rows of the flow's network that come to the driver
+MOST_PATTERNS = 100_000  # rows by pattern, use and source that are broadcast
 SLACK = 0.002  # of a quota, that may be left open without another round
 
 
-class Flow:
-    """Min-cost flow by successive shortest paths, for small networks."""
-
-    def __init__(self, nodes: int):
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def edge(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def run(self, start: int, end: int) -> None:
-        while True:
-            dist: list[float] = [float("inf")] * len(self.out)
-            via = [-1] * len(self.out)
-            dist[start], queue, queued = 0, deque([start]), {start}
-            while queue:
-                a = queue.popleft()
-                queued.discard(a)
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] and dist[a] + self.cost[e] < dist[b]:
-                        dist[b], via[b] = dist[a] + self.cost[e], e
-                        if b not in queued:
-                            queue.append(b)
-                            queued.add(b)
-            if via[end] < 0:
-                return
-            path, at = [], end
-            while at != start:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            step = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= step
-                self.room[e ^ 1] += step
-
-    def sent(self, e: int) -> int:
-        return self.room[e ^ 1]
+class Network:
+    """Uses of patterns on one side, sources on the other, as arrays: a few sources, however many patterns.
+
+    A path goes from source to source, and carries at once what all uses can move along it. Shortest paths first, so
+    their number follows from the sources alone (at most their cube for each number of uses).
+    """
+
+    def __init__(self, patterns: dict[str, tuple[list[str], int]], sources: list[str], repeats: dict[str, int], room: dict[tuple[str, int], int] | None = None):
+        number = {s: i for i, s in enumerate(sources)}
+        self.uses = [(p, r) for p, (names, _) in sorted(patterns.items()) for r in range(1, max([repeats[s] for s in names], default=0) + 1)]
+        self.level = np.array([r for _, r in self.uses], np.int64)
+        self.tokens = np.array([patterns[p][1] if room is None else room.get((p, r), 0) for p, r in self.uses], np.int64)
+        self.open = np.zeros((len(sources), len(self.uses)), bool)  # a row for each source
+        for i, (p, r) in enumerate(self.uses):
+            for s in patterns[p][0]:
+                self.open[number[s], i] = r <= repeats[s]
+
+    def run(self, quotas: list[int], evenly: bool = True) -> np.ndarray:
+        """Tokens by source and use: as many as the quotas take. evenly: no r-th use where an earlier one would do."""
+        sent = np.zeros(self.open.shape, np.int64)
+        everything = int(self.tokens.sum())
+        gaps = [min(q, everything) for q in quotas]
+        left = self.tokens.copy()
+        # An augmenting path never gives back what an earlier use sends, so the uses may come one after the other.
+        for r in sorted(set(self.level.tolist())) if evenly else [self.level.max(initial=0)]:
+            within = self.level <= r
+            while path := self._path(sent, np.where(within, left, 0), gaps):
+                amounts = [np.where(within & self.open[path[0]], left, 0)] + [np.where(self.open[b], sent[a], 0) for a, b in zip(path, path[1:])]
+                n = min(gaps[path[-1]], *[int(x.sum()) for x in amounts])
+                for i, (s, x) in enumerate(zip(path, amounts)):
+                    moved = np.clip(n - (np.cumsum(x) - x), 0, x)
+                    sent[s] += moved
+                    if i:
+                        sent[path[i - 1]] -= moved
+                    else:
+                        left -= moved
+                gaps[path[-1]] -= n
+        return sent
+
+    def _path(self, sent: np.ndarray, left: np.ndarray, gaps: list[int]) -> list[int]:
+        """The shortest path from free tokens to a source that lacks some: each source gives the next one tokens."""
+        free = left > 0
+        via: dict[int, int] = {s: -1 for s in range(len(gaps)) if (self.open[s] & free).any()}
+        queue = deque(via)
+        while queue:
+            s = queue.popleft()
+            if gaps[s]:
+                path = [s]
+                while via[path[-1]] >= 0:
+                    path.append(via[path[-1]])
+                return path[::-1]
+            uses = sent[s] > 0
+            for t in range(len(gaps)):
+                if t not in via and (self.open[t] & uses).any():
+                    via[t] = s
+                    queue.append(t)
+        return []
 
 
 def allocate(patterns: dict[str, tuple[list[str], int]], quotas: dict[str, int], repeats: dict[str, int], room: dict[tuple[str, int], int] | None = None) -> list[tuple[str, int, str, int, int]]:
@@ -96,28 +109,10 @@ def allocate(patterns: dict[str, tuple[list[str], int]], quotas: dict[str, int],
     room: tokens that are still free in each use of a pattern; all of them where it isn't given.
     """
     sources = sorted(quotas)
-    uses = [(p, r) for p, (names, _) in sorted(patterns.items()) for r in range(1, max([repeats[s] for s in names], default=0) + 1)]
-    net = Flow(2 + len(uses) + len(sources))
-    number = {s: 2 + len(uses) + i for i, s in enumerate(sources)}
-    links = []
-    for i, (p, r) in enumerate(uses):
-        names, tokens = patterns[p]
-        tokens = tokens if room is None else room.get((p, r), 0)
-        net.edge(0, 2 + i, tokens, r - 1)
-        for s in sorted(names):
-            if r <= repeats[s]:
-                links.append((p, r, s, net.edge(2 + i, number[s], tokens, 0)))
-    for s in sources:
-        net.edge(number[s], 1, quotas[s], 0)
-    net.run(0, 1)
-    out, at = [], {}
-    for p, r, s, e in links:
-        n = net.sent(e)
-        if n:
-            start = at.get((p, r), 0)
-            out.append((p, r, s, start, start + n))
-            at[p, r] = start + n
-    return out
+    net = Network(patterns, sources, repeats, room)
+    sent = net.run([quotas[s] for s in sources]).T
+    ends = np.cumsum(sent, axis=1)
+    return [(*net.uses[i], sources[s], int(ends[i, s] - sent[i, s]), int(ends[i, s])) for i, s in zip(*(x.tolist() for x in np.nonzero(sent)))]
 
 
 def best_total(patterns: dict[str, tuple[list[str], int]], shares: dict[str, float], repeats: dict[str, int]) -> int:
@@ -125,12 +120,13 @@ def best_total(patterns: dict[str, tuple[list[str], int]], shares: dict[str, flo
     have = {s for names, _ in patterns.values() for s in names if repeats[s] > 0 and shares[s] > 0}
     if not have:
         return 0
+    sources = sorted(shares)
+    net = Network(patterns, sources, repeats)
     low, high = 0, int(sum(t * max(repeats[s] for s in n) for n, t in patterns.values()) / min(shares[s] for s in have)) + 1
     while high - low > 1:
         mid = (low + high) // 2
-        quotas = {s: int(shares[s] * mid) if s in have else 0 for s in shares}
-        got = sum(b - a for *_, a, b in allocate(patterns, quotas, repeats))
-        low, high = (mid, high) if got >= sum(quotas.values()) else (low, mid)
+        quotas = [int(shares[s] * mid) if s in have else 0 for s in sources]
+        low, high = (mid, high) if int(net.run(quotas, evenly=False).sum()) >= sum(quotas) else (low, mid)
     return low
 
 
@@ -145,15 +141,10 @@ def _units(documents: DataFrame, mix: DataFrame, folder: str, name: str, seed: i
     return whole.select("h", "len", "n_tokens", F.shiftrightunsigned(F.xxhash64("h", "len", F.lit(seed)), 1).alias("o"), F.to_json("members.source").alias("pattern"), "members")
 
 
-def _few_patterns(units: DataFrame) -> DataFrame:
-    """Units of which at most MOST_PATTERNS patterns and one for each single source are left."""
-    per = units.groupBy("pattern").agg(F.count("*").alias("n"))
-    if per.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS:
-        return units
-    common = per.orderBy(F.desc("n"), "pattern").limit(MOST_PATTERNS).select("pattern", F.lit(True).alias("common"))
-    one = F.array(F.element_at("members", (F.pmod(F.xxhash64("o"), F.size("members")) + 1).cast("int")))
-    members = F.when(F.col("common"), F.col("members")).otherwise(one)
-    return cut(units.join(F.broadcast(common), "pattern", "left").withColumn("members", members).withColumn("pattern", F.to_json("members.source")).drop("common"))
+def _small(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """A table of rows by pattern: broadcast up to MOST_PATTERNS rows, else for a shuffle join."""
+    df = spark.createDataFrame(rows, kind)
+    return F.broadcast(df) if len(rows) <= MOST_PATTERNS else df
 
 
 def _inside(texts: DataFrame, ranges: list[tuple[str, int, str, int, int]], most: int) -> DataFrame:
@@ -170,9 +161,9 @@ def _inside(texts: DataFrame, ranges: list[tuple[str, int, str, int, int]], most
     before = per.select("slot", "many", "bucket", upto("slot", "many", by="bucket").alias("next")).join(tops, ["slot", "many"]).select("slot", "bucket", (F.col("first") + F.col("next")).alias("before"))
     inner = Window.partitionBy("slot", "bucket").orderBy("o", "h", "len").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("within", F.sum("n_tokens").over(inner) - F.col("n_tokens"))
-    table = texts.sparkSession.createDataFrame(ranges, "slot string, use int, source string, a bigint, b bigint")  # a row per pattern, use and source
+    table = _small(texts.sparkSession, ranges, "slot string, use int, source string, a bigint, b bigint")  # a row per pattern, use and source
     at = summed.join(before, ["slot", "bucket"]).withColumn("start", F.col("before") + F.col("within"))
-    return at.join(F.broadcast(table), "slot").filter("start >= a and start + n_tokens <= b").select("h", "len", "n_tokens", "use", "source")
+    return at.join(table, "slot").filter("start >= a and start + n_tokens <= b").select("h", "len", "n_tokens", "use", "source")
 
 
 def _choose(units: DataFrame, patterns: dict[str, tuple[list[str], int]], counts: dict[str, int], quotas: dict[str, int], repeats: dict[str, int]) -> DataFrame:
@@ -192,7 +183,7 @@ def _choose(units: DataFrame, patterns: dict[str, tuple[list[str], int]], counts
     def free(open_: dict[str, int]) -> DataFrame:
         """Uses that are left, of the texts that a source in need has: with `gap`, the most that one of them needs."""
         rows = [(p, r, max(open_[s] for s in names if s in open_ and r <= repeats[s])) for p, (names, _) in patterns.items() for r in range(1, max([repeats[s] for s in names if s in open_], default=0) + 1)]
-        slots = F.broadcast(spark.createDataFrame(rows, "pattern string, use int, gap bigint"))
+        slots = _small(spark, rows, "pattern string, use int, gap bigint")
         return units.join(slots, "pattern").join(chosen, ["h", "len", "n_tokens", "use"], "left_anti")
 
     fill(chosen)
@@ -228,8 +219,8 @@ def mix_sources(documents: DataFrame, mix: DataFrame, total_tokens: int | str |
     rows = mix.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).collect()
     shares = {r["source"]: max(0.0, r["w"] or 0.0) for r in rows}
     repeats = {r["source"]: max(0, r["r"] or 0) for r in rows}
-    units = _few_patterns(cut(_units(documents, mix, folder, name, seed)))
-    sums = units.groupBy("pattern").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.first("members.source").alias("names")).collect()  # at most MOST_PATTERNS and a row per source
+    units = cut(_units(documents, mix, folder, name, seed))
+    sums = units.groupBy("pattern").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.first("members.source").alias("names")).collect()  # a row per pattern: at most 2^sources, and as many as there are texts
     patterns = {r["pattern"]: (list(r["names"]), int(r["t"])) for r in sums}
     if total_tokens is None:
         total = best_total(patterns, shares, repeats)
