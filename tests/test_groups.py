@@ -58,3 +58,28 @@ def test_covisible_pairs(spark):
     got = candidates.covisibility(spark.createDataFrame(rows, "query_id int, lm_idx int, frame_id int"))
     assert {tuple(r) for r in got.collect()} == {(1, 1, 2, 2), (1, 1, 3, 1), (1, 2, 3, 1)}
     assert got.filter(F.col("query_id") == 2).count() == 0
+
+
+def test_best_in_a_large_block():
+    """Ties, equal and nearly equal vectors: as exact as comparing all pairs in double precision."""
+    rng = np.random.default_rng(4)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(700, 64)))
+    y = unit(base[rng.integers(0, 700, 9000)] + rng.normal(size=(9000, 64)) * rng.choice([0, 1e-9, 1e-7, 1e-4], (9000, 1)))
+    x = unit(base[rng.integers(0, 700, 600)] + rng.normal(size=(600, 64)) * 0.01)
+    r, c, v = retrieval._best(x, y, 5)
+    sims = np.stack([np.round(np.einsum("ij,j->i", y, q), 9) for q in x])
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :5]
+    assert (r == np.repeat(np.arange(600), 5)).all() and (c.reshape(-1, 5) == want).all() and (v == sims[r, c]).all()
+    assert retrieval._best(x[:9], np.repeat(y[:1], 9000, axis=0), 3)[1].tolist() == [0, 1, 2] * 9
+
+
+def test_a_hot_group_is_copied_little(spark, monkeypatch):
+    """4,000 queries against 6,000 members, all in one group: each vector travels once."""
+    vector = F.expr("transform(sequence(0, 7), i -> cast(sin(id * 7 + i * i) as float))")
+    asked = spark.range(4000).select(F.col("id").alias("q"), F.lit(1).alias("g"), vector.alias("x"))
+    stored = spark.range(6000).select(F.col("id").alias("m"), vector.alias("y"))
+    members, travel, real = spark.range(6000).select(F.lit(1).alias("g"), F.col("id").alias("m")), [], type(asked).unionByName
+    monkeypatch.setattr(type(asked), "unionByName", lambda *a, **k: travel.append(real(*a, **k)) or travel[-1])
+    got = retrieval.topk_cosine_within(asked, "q", "x", stored, "m", "y", members, "g", 2, 8)
+    assert got.count() == 8000 and travel[0].count() == 10_000 and dict(travel[0].dtypes)["x"] == "array<float>"

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from waymark.functions import vec
 from waymark.operators.groups import whole_groups
@@ -87,7 +88,43 @@ def topk_cosine(queries: DataFrame, query_id: str, query_vector: str, memory: Da
     return parts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(F.col("qid").alias(query_id), F.col("mid").alias(memory_id), "cosine", "rk")
 
 
-ASKED, STORED = 512, 2048  # rows of a block on either side, inside groups
+ASKED, STORED = 65536, 65536  # rows of a block on either side, inside groups: what is copied is rows of one side times blocks of the other
+ROWS, COLUMNS = 512, 4096  # pairs that are compared at once
+DOUBT = 1e-5  # more than twice what single precision can be off in a cosine of 64 numbers, and the rounding to nine decimals
+
+
+def _best(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine rounded to nine decimals): the k best of y for every x, ties to the earlier row. Rows are unit vectors.
+
+    Cosines in single precision leave out what can't be among the k best; the rest is computed in double precision.
+    """
+    k, doubt = min(k, len(y)), DOUBT * max(1, x.shape[1] / 64)
+    width, keep, out = max(COLUMNS, k), np.arange(len(y)), []
+    if len(y) > width:  # of equal vectors only the first k can be among the best
+        same = np.unique(np.ascontiguousarray(y).view(f"V{y.itemsize * y.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+        order, many = np.argsort(same, kind="stable"), np.bincount(same)
+        keep = np.sort(order[np.arange(len(y)) - np.repeat(np.cumsum(many) - many, many) < k])
+        y = y[keep]
+    y32 = y.astype(np.float32)
+    for a in range(0, len(x), ROWS):
+        part = x[a : a + ROWS]
+        x32, n = part.astype(np.float32), len(part)
+        best, at = np.zeros((n, 0)), np.zeros((n, 0), np.int64)
+        for b in range(0, len(y), width):
+            sims = x32 @ y32[b : b + width].T
+            floor = best[:, -1:] if b else -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+            r, c = np.nonzero(sims >= floor - doubt)
+            if not len(r):
+                continue
+            c += b
+            exact = [np.round(np.einsum("ij,ij->i", part[r[i : i + 65536]], y[c[i : i + 65536]]), 9) for i in range(0, len(r), 65536)]
+            rows, values, places = (np.concatenate(z) for z in ((np.repeat(np.arange(n), best.shape[1]), r), (best.ravel(), *exact), (at.ravel(), c)))
+            order = np.lexsort((places, -values, rows))
+            many = np.bincount(rows, minlength=n)
+            first = order[((np.cumsum(many) - many)[:, None] + np.arange(k)).ravel()]
+            best, at = values[first].reshape(n, k), places[first].reshape(n, k)
+        out.append((np.repeat(np.arange(a, a + n), k), keep[at.ravel()], best.ravel()))
+    return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def topk_cosine_within(queries: DataFrame, query_id: str, query_vector: str, memory: DataFrame, memory_id: str, memory_vector: str, members: DataFrame, group: str, k: int, dim: int = 64) -> DataFrame:
@@ -97,15 +134,17 @@ def topk_cosine_within(queries: DataFrame, query_id: str, query_vector: str, mem
     Cosines are rounded to nine decimals before they are ranked; ties go to the smaller id.
     """
     usable = lambda c: F.coalesce((F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull()), F.lit(False))
-    doubles = lambda c: F.col(c).cast("array<double>").alias("x")
-    ask = queries.filter(F.col(query_id).isNotNull() & F.col(group).isNotNull() & usable(query_vector)).select(F.col(group).alias("g"), F.col(query_id).cast("bigint").alias("id"), doubles(query_vector))
+    floats = all(df.schema[c].dataType == ArrayType(FloatType()) for df, c in ((queries, query_vector), (memory, memory_vector)))
+    numbers = lambda c: F.col(c).cast("array<float>" if floats else "array<double>").alias("x")
+    ask = queries.filter(F.col(query_id).isNotNull() & F.col(group).isNotNull() & usable(query_vector)).select(F.col(group).alias("g"), F.col(query_id).cast("bigint").alias("id"), numbers(query_vector))
     named = members.filter(F.col(group).isNotNull() & F.col(memory_id).isNotNull()).select(F.col(group).alias("g"), F.col(memory_id).cast("bigint").alias("id")).distinct()
-    base = named.join(memory.filter(usable(memory_vector)).select(F.col(memory_id).cast("bigint").alias("id"), doubles(memory_vector)), "id").select("g", "id", "x")
     sizes = ask.groupBy("g").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("na")).join(named.groupBy("g").agg(F.ceil(F.count("*") / STORED).cast("int").alias("nb")), "g")
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = ask.join(sizes, "g").select("g", spread("na").alias("a"), every("nb").alias("b"), F.lit(1).alias("side"), "id", "x")
-    right = base.join(sizes, "g").select("g", every("na").alias("a"), spread("nb").alias("b"), F.lit(0).alias("side"), "id", "x")
+    # Only members of groups that are asked get their vectors.
+    wide = named.join(sizes, "g").join(memory.filter(usable(memory_vector)).select(F.col(memory_id).cast("bigint").alias("id"), numbers(memory_vector)), "id")
+    right = wide.select("g", every("na").alias("a"), spread("nb").alias("b"), F.lit(0).alias("side"), "id", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in whole_groups(batches, ["g", "a", "b"]):
@@ -115,20 +154,16 @@ def topk_cosine_within(queries: DataFrame, query_id: str, query_vector: str, mem
                 if side[0] == side[-1]:
                     continue
                 x = table.column("x").combine_chunks()
-                x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, dim)
+                x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
                 norms = np.linalg.norm(x, axis=1)
                 good = np.isfinite(norms) & (norms > 0)
                 ids, side, x = table.column("id").to_numpy()[good], side[good], x[good] / norms[good, None]
-                y, mids = x[side == 0], ids[side == 0]
-                x, qids = x[side == 1], ids[side == 1]
-                if not len(x) or not len(y):
+                mids, qids, y, x = ids[side == 0], ids[side == 1], x[side == 0], x[side == 1]
+                if not len(mids) or not len(qids):
                     continue
-                sims = np.round(x @ y.T, 9)
-                if k < len(y):
-                    r, c = np.nonzero(sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k])
-                else:
-                    r, c = (z.ravel() for z in np.indices(sims.shape))
-                out.append((qids[r], mids[c], sims[r, c]))
+                order = np.argsort(mids)
+                r, c, sims = _best(x, y[order], k)
+                out.append((qids[r], mids[order[c]], sims))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["qid", "mid", "cosine"])
 

@@ -73,6 +73,7 @@ def match(anchors: DataFrame, lms: DataFrame, m: Matcher = Matcher(), candidates
     else:
         top = retrieval.topk_cosine_within(anchors, "anchor_id", "desc", lms, "point_id", "mu", candidates, "query_id", m.topk, m.dim)
         near = top.drop("rk").join(anchors.select("anchor_id", "query_id", "anchor_idx"), "anchor_id")
+    near = cut(near)  # k rows an anchor, read three times
     anchor = ["query_id", "anchor_idx"]
     short = retrieval.materialize_cap(near, ["query_id"], "anchor_idx", "point_id", "cosine", m.per_anchor, m.least_cosine, m.most_loaded)
     passed = near.filter(F.col("cosine") >= m.least_cosine) if m.adaptive_margin is None else retrieval.adaptive_cosine(near, anchor, "cosine", m.least_cosine, m.adaptive_margin).drop("floor")
